@@ -46,8 +46,8 @@ def apply_rule(t: Column, kind: str, p: LangProfile = LATIN) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def swap_term(t: Column, groups: Sequence[Sequence[str]], seed: int = 0) -> Column:
-    """The first listed term found becomes another of its group, with the particle behind it repaired."""
+def swap_term(t: Column, groups: Sequence[Sequence[str]], seed: int = 0, p: LangProfile = LATIN) -> Column:
+    """The first listed term found becomes another of its group; in Korean the particle behind it is repaired."""
     t = _c(t)
     out = None
     for group in groups:
@@ -56,7 +56,8 @@ def swap_term(t: Column, groups: Sequence[Sequence[str]], seed: int = 0) -> Colu
             if others:
                 at = F.position(F.lit(a), t)
                 pick = F.element_at(F.array(*map(F.lit, others)), F.pmod(F.xxhash64(t, F.lit(seed)), F.lit(len(others))).cast("int") + 1)
-                changed = repair_particle(F.concat(F.left(t, at - 1), pick), F.substr(t, at + len(a)))
+                head, tail = F.concat(F.left(t, at - 1), pick), F.substr(t, at + len(a))
+                changed = repair_particle(head, tail) if p.name == "ko" else F.concat(head, tail)
                 out = F.when(at > 0, changed) if out is None else out.when(at > 0, changed)
     return out if out is not None else F.lit(None).cast("string")
 
@@ -66,10 +67,10 @@ def _choice(t: Column, options: Sequence[str], seed: int) -> Column:
 
 
 def perturbations(t: Column, p: LangProfile = LATIN, groups: Sequence[Sequence[str]] = (), seed: int = 0) -> dict[str, Column]:
-    """kind -> corrupted text, null where a sentence is not eligible for the kind."""
+    """kind -> corrupted text, null where a sentence is not eligible for the kind; drop those equal to ``t``."""
     t = _c(t)
-    made = {
-        "TERM_SWAP": swap_term(t, groups, seed),
+    return {
+        "TERM_SWAP": swap_term(t, groups, seed, p),
         "NUM_CHANGE": change_number(t, p),
         "UNIT_CHANGE": change_unit(t, p),
         "NEGATE": apply_rule(t, "NEGATE", p),
@@ -78,7 +79,6 @@ def perturbations(t: Column, p: LangProfile = LATIN, groups: Sequence[Sequence[s
         "FABRICATE": F.concat(t, F.lit(" "), _choice(t, p.fabrications, seed)),
         "OFF_TOPIC": _choice(t, p.off_topic, seed),
     }
-    return {k: F.when(v != t, v) for k, v in made.items()}
 
 
 def omit_sentence(sents: Column, index: Column, least: int = 4) -> Column:

@@ -52,10 +52,19 @@ def term_occurrences(t: Column, terms: Sequence[str], p: LangProfile = LATIN) ->
     return non_overlapping(F.concat(*each))
 
 
-def parenthesis_depth(t: Column, position: Column) -> Column:
+def bracket_marks(t: Column) -> Column:
+    """Round brackets with their positions; few in most texts, so depths need not read the text again."""
+    return pattern_spans(t, "[()（）]")
+
+
+def depth_at(marks: Column, position: Column) -> Column:
     """Open brackets before a position; closing ones never take it below 0."""
-    marks = F.split(F.regexp_replace(F.left(_c(t), position), r"[^()（）]", ""), "")
-    return F.aggregate(marks, F.lit(0), lambda d, c: F.when(c.isin("(", "（"), d + 1).when(c.isin(")", "）"), F.greatest(d - 1, F.lit(0))).otherwise(d))
+    before = F.filter(marks, lambda m: m["s"] < position)
+    return F.aggregate(before, F.lit(0), lambda d, m: F.when(m["raw"].isin("(", "（"), d + 1).otherwise(F.greatest(d - 1, F.lit(0))))
+
+
+def parenthesis_depth(t: Column, position: Column) -> Column:
+    return depth_at(bracket_marks(t), position)
 
 
 def mask(t: Column, p: LangProfile = LATIN) -> Column:

@@ -37,8 +37,8 @@ def auroc(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> D
 
 
 def _guarded(df: DataFrame, x: str, y: str, keys: list[str], least: int, name: str) -> DataFrame:
-    agg = df.where(_c(x).isNotNull() & _c(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("__r"), F.stddev_pop(x).alias("__sx"), F.stddev_pop(y).alias("__sy"))
-    return agg.select(*keys, "n", F.when((F.col("n") >= least) & (F.col("__sx") > 0) & (F.col("__sy") > 0), F.col("__r")).alias(name))
+    agg = df.where(_c(x).isNotNull() & _c(y).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("__r"), F.stddev_pop(x).alias("__sx"), F.stddev_pop(y).alias("__sy"))
+    return agg.select(*keys, "n", F.when((F.col("n") >= least) & (F.col("__sx") > 0) & (F.col("__sy") > 0), F.col("__r") / (F.col("__sx") * F.col("__sy"))).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:

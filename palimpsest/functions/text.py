@@ -79,7 +79,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def number_units(t: Column, p: LangProfile = LATIN) -> Column:
     """Numbers with their unit, spaces between removed, in order, repeats kept."""
     t, pattern = _c(t), F.lit(p.number_unit)
-    return F.zip_with(F.regexp_extract_all(t, pattern, F.lit(1)), F.regexp_extract_all(t, pattern, F.lit(2)), F.concat)
+    return F.zip_with(F.regexp_extract_all(t, pattern, F.lit(1)), F.regexp_extract_all(t, pattern, F.lit(2)), lambda a, b: F.concat(a, b))
 
 
 def without_spaces(t: Column) -> Column:
@@ -312,6 +312,16 @@ def index_level(index: Column) -> Column:
     return level.otherwise(INDEX_HARD)
 
 
+#: Marks at the start of lines, code ticks and emphasis.
+MARKDOWN = ((r"^\s*#{1,6}\s*", ""), (r"^\s*[-*•▪◦]\s+", ""), (r"^\s*>\s?", ""), (r"`+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1"))
+
+
+def _without_markdown(line: Column) -> Column:
+    for pattern, put in MARKDOWN:
+        line = F.regexp_replace(line, pattern, put)
+    return line
+
+
 def clean_output(raw: Column, opening: Sequence[str], closing: Sequence[str]) -> Column:
     """Model output without thinking, opening and closing chatter, rules and markdown; (text, removed).
 
@@ -335,8 +345,7 @@ def clean_output(raw: Column, opening: Sequence[str], closing: Sequence[str]) ->
 
     lines = F.reverse(trimmed(F.reverse(trimmed(lines, opening)), closing))
     lines = F.filter(lines, lambda x: ~x.rlike(rule))
-    for pattern, put in ((r"^\s*#{1,6}\s*", ""), (r"^\s*[-*•▪◦]\s+", ""), (r"^\s*>\s?", ""), (r"`+", ""), (r"\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1")):
-        lines = F.transform(lines, lambda x, pattern=pattern, put=put: F.regexp_replace(x, pattern, put))
+    lines = F.transform(lines, _without_markdown)
     res = strip(F.array_join(F.filter(F.transform(lines, strip), lambda x: x != ""), "\n"))
     bad = (res == "") | ((F.length(base) > 100) & (F.length(res) < 0.15 * F.length(base)))
     return F.struct(F.when(bad, base).otherwise(res).alias("text"), F.when(bad, 0).otherwise(F.length(base) - F.length(res)).alias("removed"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from palimpsest.plans import text_queries  # noqa: F401
+    from palimpsest.plans import pair_queries, relational_queries, stats_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
