@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from palimpsest.functions.profiles import LATIN, LangProfile
 
@@ -26,13 +27,13 @@ def squeeze(t: Column) -> Column:
     return F.trim(F.regexp_replace(_c(t), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

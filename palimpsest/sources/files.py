@@ -20,7 +20,7 @@ def _stem(path: Column) -> Column:
 def scan_texts(spark: SparkSession, path: str, *, exclude_prefix: str = "syn") -> DataFrame:
     """(doc, text), a row per file, the file's stem as its key; bytes that are no UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    rows = files.select(_stem(F.col("path")).alias("doc"), F.decode(F.col("content"), "UTF-8").alias("text"))
+    rows = files.select(_stem(F.col("path")).alias("doc"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return rows.where(~F.col("doc").startswith(exclude_prefix)) if exclude_prefix else rows
 
 
@@ -61,9 +61,9 @@ def scan_corpus(spark: SparkSession, path: str, *, limit_per_file: int = 4000, f
             lines = src.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("record"))
             return lines.where("record is not null")
         if kind == "json":
-            whole = src.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+            whole = src.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
             return whole.mapInPandas(_json_records, "file string, record map<string,string>")
-        table = src.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        table = src.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         sep = "," if kind == "csv" else "\t"
         return table.mapInPandas(lambda it: _csv_records(it, sep), "file string, record map<string,string>")
 
