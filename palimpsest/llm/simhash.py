@@ -131,14 +131,79 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp").mapInArrow(made, "key int, fp long")
 
 
+#: In runs of one key up to this long every pair is compared and linked; longer ones give a spanning forest.
+SHORT_RUN = 16
+
+
+def spanning_links(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is connected among the fingerprints of a key, one fewer than each component has members.
+
+    Each fingerprint is compared with all that are not yet reached, in one array operation.
+    """
+    rest, out = np.unique(fps), []
+    while len(rest):
+        ahead, rest = [rest[0]], rest[1:]
+        while ahead and len(rest):
+            at = ahead.pop()
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= bits
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                out.append((np.full(len(found), at), found))
+                ahead.extend(found)
+    return out
+
+
+def run_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links within runs of equal keys."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    sizes = np.diff(np.append(edges, len(keys)))
+    out = [link for at, n in zip(edges[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN], strict=True) for link in spanning_links(fps[at : at + n], bits)]
+    left = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT_RUN), sizes))
+    for shift in range(1, SHORT_RUN):
+        left = left[left + shift < len(keys)]
+        left = left[keys[left] == keys[left + shift]]
+        if not len(left):
+            break
+        near = np.bitwise_count((fps[left] ^ fps[left + shift]).view(np.uint64)) <= bits
+        out.append((fps[left[near]], fps[left[near] + shift]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
 def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints that differ in 1 to ``bits`` (4 at most) bits."""
+    """Links (a, b), a < b, of distinct fingerprints that differ in 1 to ``bits`` (4 at most) bits.
+
+    Fingerprints meet by key in one shuffle and are verified there. All pairs of a short run are linked; of a long run,
+    which is a large group of near copies, only as many as connect the same fingerprints, so that links grow with
+    the fingerprints and not with the square of a group. The components are those of all links.
+    """
     if not 0 <= bits <= 4:
         raise ValueError("two segments with at most 2 errors each are sure for 4 differing bits or fewer")
-    keys = keyed(nodes)
-    near = F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= bits
-    pairs = keys.alias("l").join(keys.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & near)
-    return pairs.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def told(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+            a, b = run_links(keys, fps, bits)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows >= 500_000:
+                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                whole = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+                if whole:
+                    yield told(keys[:whole], fps[:whole])
+                held, rows = [(keys[whole:], fps[whole:])], 0
+        if held:
+            keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield told(keys, fps)
+
+    met = keyed(nodes).repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(made, "a long, b long").distinct()
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
