@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.profiles import LATIN, LangProfile
+from palimpsest.functions.text import let
 
 OPEN, CLOSE = "⟦", "⟧"
 
@@ -70,12 +71,19 @@ def parenthesis_depth(t: Column, position: Column) -> Column:
 def mask(t: Column, p: LangProfile = LATIN) -> Column:
     """struct<text, map>: protected spans replaced by numbered placeholders, and placeholder -> original."""
     t = _c(t)
-    chosen = non_overlapping(F.concat(*[pattern_spans(t, pattern, kind) for kind, pattern in p.protected]))
-    named = F.transform(chosen, lambda x, i: F.struct(F.concat(F.lit(OPEN), x["kind"], (F.size(F.filter(F.slice(chosen, F.lit(1), i + 1), lambda y: y["kind"] == x["kind"]))).cast("string"), F.lit(CLOSE)).alias("name"), x["s"].alias("s"), x["e"].alias("e"), x["raw"].alias("raw")))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    built = F.aggregate(named, start, lambda acc, x: F.struct(F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), x["name"]).alias("out"), x["e"].alias("at")))
-    text = F.concat(built["out"], F.substr(t, built["at"] + 1))
-    return F.struct(text.alias("text"), F.map_from_entries(F.transform(named, lambda x: F.struct(x["name"], x["raw"]))).alias("map"))
+
+    def made(chosen: Column) -> Column:
+        number = lambda x, i: F.size(F.filter(F.slice(chosen, F.lit(1), i + 1), lambda y: y["kind"] == x["kind"]))
+        named = F.transform(chosen, lambda x, i: F.struct(F.concat(F.lit(OPEN), x["kind"], number(x, i).cast("string"), F.lit(CLOSE)).alias("name"), x["s"].alias("s"), x["e"].alias("e"), x["raw"].alias("raw")))
+        return let(named, built)
+
+    def built(named: Column) -> Column:
+        parts = F.transform(named, lambda x, i: F.concat(F.substring(t, F.when(i == 0, 0).otherwise(F.element_at(named, F.greatest(i, F.lit(1)))["e"]) + 1, x["s"] - F.when(i == 0, 0).otherwise(F.element_at(named, F.greatest(i, F.lit(1)))["e"])), x["name"]))
+        last = F.when(F.size(named) > 0, F.try_element_at(named, F.lit(-1))["e"]).otherwise(0)
+        text = F.concat(F.array_join(parts, ""), F.substr(t, last + 1))
+        return F.struct(text.alias("text"), F.map_from_entries(F.transform(named, lambda x: F.struct(x["name"], x["raw"]))).alias("map"))
+
+    return let(non_overlapping(F.concat(*[pattern_spans(t, pattern, kind) for kind, pattern in p.protected])), made)
 
 
 def audit(generated: Column, mapping: Column) -> Column:
@@ -86,7 +94,7 @@ def audit(generated: Column, mapping: Column) -> Column:
     expected = F.map_keys(mapping)
     missing = F.array_sort(F.array_except(expected, found))
     unknown = F.array_sort(F.array_except(found, expected))
-    duplicated = F.array_sort(F.array_distinct(F.filter(found, lambda x: F.size(F.filter(found, lambda y: y == x)) > 1)))
+    duplicated = let(found, lambda xs: F.array_sort(F.array_distinct(F.filter(xs, lambda x: F.size(F.filter(xs, lambda y: y == x)) > 1))))
     variants = F.filter(loose, lambda x: ~x.rlike(r"^⟦[A-Z]+\d+⟧$"))
     ok = (F.size(missing) + F.size(unknown) + F.size(duplicated) + F.size(variants)) == 0
     return F.struct(missing.alias("missing"), duplicated.alias("duplicated"), unknown.alias("unknown"), variants.alias("variants"), ok.alias("ok"))
@@ -114,12 +122,12 @@ def glossary_plan(t: Column, glossary: dict[str, str], p: LangProfile = LATIN) -
     row = "array<struct<s:int,e:int,term:string,reason:string>>"
     start = F.struct(F.array().cast(row).alias("plan"), F.array().cast(row).alias("skipped"), F.array().cast("array<string>").alias("seen"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column, marks: Column) -> Column:
         term = x["kind"]
         tail = F.substring(t, x["e"] + 1, F.lit(90))
         reason = (
             F.when(F.array_contains(acc["seen"], term), "not_first_occurrence")
-            .when(parenthesis_depth(t, x["s"]) > 0, "inside_parenthesis")
+            .when(depth_at(marks, x["s"]) > 0, "inside_parenthesis")
             .when(tail.rlike(r"^\s*[（(]\s*[^)）]{1,80}\s*[)）]"), "existing_parenthetical")
             .when(F.contains(t, explain[term]), "explanation_already_present")
         )
@@ -131,7 +139,7 @@ def glossary_plan(t: Column, glossary: dict[str, str], p: LangProfile = LATIN) -
             F.when(uses, F.array_append(acc["seen"], term)).otherwise(acc["seen"]).alias("seen"),
         )
 
-    done = F.aggregate(term_occurrences(t, list(glossary), p), start, step)
+    done = let(bracket_marks(t), lambda marks: F.aggregate(term_occurrences(t, list(glossary), p), start, lambda acc, x: step(acc, x, marks)))
     return F.struct(done["plan"].alias("plan"), done["skipped"].alias("skipped"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value`` evaluated once: what a lambda refers to outside itself is otherwise computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(t: Column) -> Column:
     """Without white space (Unicode) at both ends."""
     return F.regexp_replace(_c(t), r"(?U)^\s+|\s+\z", "")
@@ -67,9 +72,11 @@ def words(t: Column) -> Column:
 
 def char_ngrams(t: Column, n: int) -> Column:
     """Set of character n-grams without white space; a shorter text is its own gram, an empty one has none."""
-    bare = F.regexp_replace(_c(t), r"\s+", "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - n + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(n))))
-    return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(grams)
+    def grams(bare: Column) -> Column:
+        every = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - n + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(n))))
+        return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(every)
+
+    return let(F.regexp_replace(_c(t), r"\s+", ""), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -90,8 +97,8 @@ def without_spaces(t: Column) -> Column:
 def numeric_keep(src: Column, out: Column, p: LangProfile = LATIN) -> Column:
     """Per cent of the source's distinct number units found in the output as substrings, spaces apart; null if none."""
     nums = F.array_distinct(number_units(src, p))
-    flat = without_spaces(out)
-    return F.when(F.size(nums) > 0, 100.0 * F.size(F.filter(nums, lambda x: F.contains(flat, x))) / F.size(nums))
+    kept = let(without_spaces(out), lambda flat: F.size(F.filter(nums, lambda x: F.contains(flat, x))))
+    return F.when(F.size(nums) > 0, 100.0 * kept / F.size(nums))
 
 
 def numeric_hallucination(src: Column, out: Column, p: LangProfile = LATIN) -> Column:
@@ -217,10 +224,10 @@ def edit_metrics(src: Column, out: Column, p: LangProfile = LATIN) -> dict[str,
     src, out = _c(src), _c(out)
     ks, oo = F.transform(split_sentences(src, p), squeeze), F.transform(split_sentences(out, p), squeeze)
     kw, ow = words(src), words(out)
-    share = lambda xs, ys: 100.0 * F.size(F.filter(xs, lambda w: ~F.array_contains(ys, w))) / F.greatest(F.size(xs), F.lit(1))
+    share = lambda xs, ys: let(ys, lambda y: 100.0 * F.size(F.filter(xs, lambda w: ~F.array_contains(y, w))) / F.greatest(F.size(xs), F.lit(1)))
     return {
         "compression": F.length(squeeze(out)) / F.greatest(F.length(squeeze(src)), F.lit(1)),
-        "exact_copies": 100.0 * F.size(F.filter(oo, lambda s: F.array_contains(ks, s))) / F.greatest(F.size(oo), F.lit(1)),
+        "exact_copies": let(ks, lambda k: 100.0 * F.size(F.filter(oo, lambda s: F.array_contains(k, s))) / F.greatest(F.size(oo), F.lit(1))),
         "split_ratio": F.size(oo) / F.greatest(F.size(ks), F.lit(1)),
         "added_pct": share(ow, kw),
         "deleted_pct": share(kw, ow),
@@ -235,24 +242,33 @@ def count_of(t: Column, term: str) -> Column:
 
 def readability(t: Column, p: LangProfile = LATIN, long: int = 25) -> dict[str, Column]:
     """Nine features over the sentences of a text; all 0 without sentences."""
-    sents = split_sentences(t, p)
-    n = F.size(sents)
-    per = F.transform(sents, lambda s: F.size(words(s)))
-    total = F.greatest(F.aggregate(per, F.lit(0), lambda a, x: a + x), F.lit(1))
-    joined = F.array_join(sents, " ")
-    per_word = lambda pattern: 100.0 * F.regexp_count(joined, F.lit(pattern)) / total
-    made = {
-        "sent_len": total / n,
-        "long_ratio": F.size(F.filter(per, lambda x: x > long)) / n,
-        "clause": F.regexp_count(joined, F.lit(p.connective)) / n,
-        "nominal": per_word(p.nominal),
-        "passive": per_word(p.passive),
-        "term": 100.0 * sum((count_of(joined, x) for x in p.terms), F.lit(0)) / total,
-        "hanja": per_word(p.suffix_word),
-        "paren": 100.0 * F.regexp_count(joined, F.lit(r"[()\[\]{}（）〔〕:：·／/※▶►▲■□○●◦-]")) / F.greatest(F.length(joined), F.lit(1)),
-        "formal": per_word(p.formal),
-    }
-    return {k: F.when(n > 0, v).otherwise(F.lit(0.0)) for k, v in made.items()}
+    def features(sents: Column, per: Column, joined: Column) -> Column:
+        n, total = F.size(sents), F.greatest(F.aggregate(per, F.lit(0), lambda a, x: a + x), F.lit(1))
+        per_word = lambda pattern: 100.0 * F.regexp_count(joined, F.lit(pattern)) / total
+        made = {
+            "sent_len": total / n,
+            "long_ratio": F.size(F.filter(per, lambda x: x > long)) / n,
+            "clause": F.regexp_count(joined, F.lit(p.connective)) / n,
+            "nominal": per_word(p.nominal),
+            "passive": per_word(p.passive),
+            "term": 100.0 * sum((count_of(joined, x) for x in p.terms), F.lit(0)) / total,
+            "hanja": per_word(p.suffix_word),
+            "paren": 100.0 * F.regexp_count(joined, F.lit(r"[()\[\]{}（）〔〕:：·／/※▶►▲■□○●◦-]")) / F.greatest(F.length(joined), F.lit(1)),
+            "formal": per_word(p.formal),
+        }
+        return F.struct(*[F.when(n > 0, v).otherwise(F.lit(0.0)).alias(k) for k, v in made.items()])
+
+    found = _over_sentences(t, p, features)
+    return {k: found[k] for k in READABILITY}
+
+
+#: The nine features of ``readability``.
+READABILITY = ("sent_len", "long_ratio", "clause", "nominal", "passive", "term", "hanja", "paren", "formal")
+
+
+def _over_sentences(t: Column, p: LangProfile, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` over a text's sentences, their word counts and the sentences joined, each computed once."""
+    return let(split_sentences(t, p), lambda s: let(F.transform(s, lambda x: F.size(words(x))), lambda per: let(F.array_join(s, " "), lambda joined: body(s, per, joined))))
 
 
 #: metric -> the direction in which a text is simpler; info: no direction.
@@ -265,34 +281,34 @@ SIMPLICITY_DIRECTION = {
 def simplicity(t: Column, src: Column | None = None, p: LangProfile = LATIN) -> dict[str, Column]:
     """Simplicity metrics of a text, with a source also those against it; null where there are no sentences."""
     t = _c(t)
-    sents = split_sentences(t, p)
-    n = F.size(sents)
-    per = F.transform(sents, lambda s: F.size(words(s)))
-    total = F.greatest(F.aggregate(per, F.lit(0), lambda a, x: a + x), F.lit(1))
-    joined = F.array_join(sents, " ")
     terms = F.array(*map(F.lit, p.terms))
-    glosses = F.filter(parenthetical_glosses(joined, p.letter + "{2,10}"), lambda g: F.exists(terms, lambda x: F.contains(g["term"], x)) & (F.regexp_count(g["gloss"], F.lit(p.letter)) >= 3) & (F.length(g["gloss"]) >= 4))
-    explained = F.size(F.array_distinct(F.transform(glosses, lambda g: g["term"])))
-    present = F.size(F.filter(terms, lambda x: F.contains(joined, x)))
-    out = {
-        "n_sentences": n,
-        "chars_per_sent": F.aggregate(F.transform(sents, F.length), F.lit(0), lambda a, x: a + x) / n,
-        "words_per_sent": total / n,
-        "long_sent_ratio": 100.0 * F.size(F.filter(per, lambda x: x > 25)) / n,
-        "hanja_ratio": 100.0 * F.regexp_count(joined, F.lit(p.suffix_word)) / total,
-        "medterm_ratio": 100.0 * sum((count_of(joined, x) for x in p.terms), F.lit(0)) / total,
-        "term_explain": explained,
-        "term_explain_rate": F.when(present > 0, 100.0 * explained / present),
-    }
-    if src is not None:
-        src = _c(src)
-        before = F.size(split_sentences(src, p))
-        out |= {
-            "length_change": 100.0 * (F.length(t) - F.length(src)) / F.greatest(F.length(src), F.lit(1)),
-            "sent_split_ratio": F.when(before > 0, n / before),
-            "copy_similarity": jaccard(char_ngrams(src, 3), char_ngrams(t, 3)),
+
+    def metrics(sents: Column, per: Column, joined: Column) -> Column:
+        n, total = F.size(sents), F.greatest(F.aggregate(per, F.lit(0), lambda a, x: a + x), F.lit(1))
+        told = lambda g: F.exists(terms, lambda x: F.contains(g["term"], x)) & (F.regexp_count(g["gloss"], F.lit(p.letter)) >= 3) & (F.length(g["gloss"]) >= 4)
+        explained = F.size(F.array_distinct(F.transform(F.filter(parenthetical_glosses(joined, p.letter + "{2,10}"), told), lambda g: g["term"])))
+        present = F.size(F.filter(terms, lambda x: F.contains(joined, x)))
+        out = {
+            "n_sentences": n,
+            "chars_per_sent": F.aggregate(F.transform(sents, F.length), F.lit(0), lambda a, x: a + x) / n,
+            "words_per_sent": total / n,
+            "long_sent_ratio": 100.0 * F.size(F.filter(per, lambda x: x > 25)) / n,
+            "hanja_ratio": 100.0 * F.regexp_count(joined, F.lit(p.suffix_word)) / total,
+            "medterm_ratio": 100.0 * sum((count_of(joined, x) for x in p.terms), F.lit(0)) / total,
+            "term_explain": explained,
+            "term_explain_rate": F.when(present > 0, 100.0 * explained / present),
         }
-    return {k: F.when(n > 0, v) for k, v in out.items()}
+        if src is not None:
+            before = F.size(split_sentences(src, p))
+            out |= {
+                "length_change": 100.0 * (F.length(t) - F.length(_c(src))) / F.greatest(F.length(_c(src)), F.lit(1)),
+                "sent_split_ratio": F.when(before > 0, n / before),
+                "copy_similarity": jaccard(char_ngrams(src, 3), char_ngrams(t, 3)),
+            }
+        return F.struct(*[F.when(n > 0, v).alias(k) for k, v in out.items()])
+
+    found = _over_sentences(t, p, metrics)
+    return {k: found[k] for k in SIMPLICITY_DIRECTION if src is not None or k not in ("length_change", "sent_split_ratio", "copy_similarity")}
 
 
 # The published readability formula and its levels.
@@ -338,7 +354,10 @@ def clean_output(raw: Column, opening: Sequence[str], closing: Sequence[str]) ->
     head = F.array_join(F.slice(lines, F.lit(1), F.greatest(first_rule - 1, F.lit(0))), " ")
     lines = F.when((first_rule > 0) & hit(head, opening), F.slice(lines, first_rule + 1, F.greatest(F.size(lines) - first_rule, F.lit(0)))).otherwise(lines)
 
-    def trimmed(xs: Column, pats: Sequence[str]) -> Column:
+    def trimmed(lines: Column, pats: Sequence[str]) -> Column:
+        return let(lines, lambda xs: rest(xs, pats))
+
+    def rest(xs: Column, pats: Sequence[str]) -> Column:
         """Lines from the first that is neither blank, nor a rule, nor chatter with a line behind it."""
         goes = lambda x, i: (strip(x) == "") | x.rlike(rule) | (hit(strip(x), pats) & (i < F.size(xs) - 1))
         keep = F.array_position(F.transform(xs, lambda x, i: ~goes(x, i)), F.lit(True)).cast("int")

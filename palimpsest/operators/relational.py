@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import let
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -34,11 +36,14 @@ def sentences(docs: DataFrame, array: Column, keep: Sequence[str], name: str = "
 
 def sliding_chunks(array: Column, span: int = 3, empty: str = "(empty)") -> Column:
     """Chunks of 1 to ``span`` neighbours joined by a space, by span then start, each once; a fallback when there are none."""
-    n = F.size(array)
     none = F.array().cast("array<string>")
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice(array, i + 1, F.lit(k)), " "))).otherwise(none)
-    every = F.array_distinct(F.concat(*[of(k) for k in range(1, span + 1)]))
-    return F.when(n > 0, every).otherwise(F.array(F.lit(empty)))
+
+    def chunks(xs: Column) -> Column:
+        n = F.size(xs)
+        of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice(xs, i + 1, F.lit(k)), " "))).otherwise(none)
+        return F.when(n > 0, F.array_distinct(F.concat(*[of(k) for k in range(1, span + 1)]))).otherwise(F.array(F.lit(empty)))
+
+    return let(array, chunks)
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "block") -> DataFrame:

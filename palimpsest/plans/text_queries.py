@@ -181,10 +181,10 @@ select doc_id, idx as index_value, case when idx >= 45 then '쉬움' when idx >=
 )
 def readability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of more than 8 characters stand for the graded vocabulary's upper levels"""
-    sents = T.split_sentences("text")
+    sents = F.col("s")
     wps = F.aggregate(F.transform(sents, lambda s: F.size(T.words(s))), F.lit(0), lambda a, x: a + x).cast("double") / F.size(sents)
     mid = 100.0 * F.size(F.filter(T.words("text"), lambda w: F.length(w) > 8)) / F.greatest(F.size(T.words("text")), F.lit(1))
-    rows = table(spark, sf_dir, "documents").where(F.size(sents) > 0).select("doc_id", T.index_value(mid, wps).alias("index_value"))
+    rows = table(spark, sf_dir, "documents").withColumn("s", T.split_sentences("text")).where(F.size(sents) > 0).select("doc_id", T.index_value(mid, wps).alias("index_value"))
     return rows.withColumn("level", T.index_level("index_value"))
 
 
