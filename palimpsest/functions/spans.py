@@ -23,24 +23,26 @@ def _c(x: Column | str) -> Column:
 def pattern_spans(t: Column, pattern: str, kind: str = "") -> Column:
     """array<struct<s, e, kind, raw>> of leftmost non-overlapping matches, from the lengths of matches and gaps."""
     t = _c(t)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(t, pattern, -1), F.length)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,kind:string,raw:string>>").alias("out"))
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["g"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("raw"))).alias("out"))
 
-    return F.aggregate(pairs, start, step)["out"]
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.aggregate(pairs, start, step)["out"]
+
+    return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), placed)
 
 
 def non_overlapping(spans: Column) -> Column:
     """By start, then longest first, each span kept that begins at or after the last kept one's end."""
-    by = F.array_sort(spans, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise((b["e"] - b["s"]) - (a["e"] - a["s"])))
-    start = F.struct(F.lit(-1).alias("last"), F.slice(spans, 1, 0).alias("kept"))
-    return F.aggregate(by, start, lambda acc, x: F.when(x["s"] >= acc["last"], F.struct(x["e"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc))["kept"]
+    order = lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise((b["e"] - b["s"]) - (a["e"] - a["s"]))
+    step = lambda acc, x: F.when(x["s"] >= acc["last"], F.struct(x["e"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    return let(spans, lambda xs: F.aggregate(F.array_sort(xs, order), F.struct(F.lit(-1).alias("last"), F.slice(xs, 1, 0).alias("kept")), step)["kept"])
 
 
 def term_occurrences(t: Column, terms: Sequence[str], p: LangProfile = LATIN) -> Column:

@@ -240,8 +240,8 @@ def count_of(t: Column, term: str) -> Column:
     return F.regexp_count(_c(t), F.lit(rf"\Q{term}\E"))
 
 
-def readability(t: Column, p: LangProfile = LATIN, long: int = 25) -> dict[str, Column]:
-    """Nine features over the sentences of a text; all 0 without sentences."""
+def readability(t: Column, p: LangProfile = LATIN, long: int = 25) -> Column:
+    """Struct of nine features over the sentences of a text; all 0 without sentences. Name it before taking fields, so that it is computed once."""
     def features(sents: Column, per: Column, joined: Column) -> Column:
         n, total = F.size(sents), F.greatest(F.aggregate(per, F.lit(0), lambda a, x: a + x), F.lit(1))
         per_word = lambda pattern: 100.0 * F.regexp_count(joined, F.lit(pattern)) / total
@@ -258,12 +258,7 @@ def readability(t: Column, p: LangProfile = LATIN, long: int = 25) -> dict[str,
         }
         return F.struct(*[F.when(n > 0, v).otherwise(F.lit(0.0)).alias(k) for k, v in made.items()])
 
-    found = _over_sentences(t, p, features)
-    return {k: found[k] for k in READABILITY}
-
-
-#: The nine features of ``readability``.
-READABILITY = ("sent_len", "long_ratio", "clause", "nominal", "passive", "term", "hanja", "paren", "formal")
+    return _over_sentences(t, p, features)
 
 
 def _over_sentences(t: Column, p: LangProfile, body: Callable[[Column, Column, Column], Column]) -> Column:
@@ -278,8 +273,8 @@ SIMPLICITY_DIRECTION = {
 }
 
 
-def simplicity(t: Column, src: Column | None = None, p: LangProfile = LATIN) -> dict[str, Column]:
-    """Simplicity metrics of a text, with a source also those against it; null where there are no sentences."""
+def simplicity(t: Column, src: Column | None = None, p: LangProfile = LATIN) -> Column:
+    """Struct of simplicity metrics of a text, with a source also those against it; null where there are no sentences."""
     t = _c(t)
     terms = F.array(*map(F.lit, p.terms))
 
@@ -307,8 +302,7 @@ def simplicity(t: Column, src: Column | None = None, p: LangProfile = LATIN) ->
             }
         return F.struct(*[F.when(n > 0, v).alias(k) for k, v in out.items()])
 
-    found = _over_sentences(t, p, metrics)
-    return {k: found[k] for k in SIMPLICITY_DIRECTION if src is not None or k not in ("length_change", "sent_split_ratio", "copy_similarity")}
+    return _over_sentences(t, p, metrics)
 
 
 # The published readability formula and its levels.

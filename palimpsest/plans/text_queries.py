@@ -134,14 +134,14 @@ from documents left join d using (doc_id)"""
 )
 def readability_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20"""
-    f = T.readability("text")
-    return table(spark, sf_dir, "documents").select("doc_id", *[f[k].alias(k) for k in ("sent_len", "long_ratio", "paren", "term")])
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.readability("text").alias("f"))
+    return rows.select("doc_id", "f.sent_len", "f.long_ratio", "f.paren", "f.term")
 
 
 @query()
 def readability_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F20, all nine (word boundaries differ between regular expression engines, so no SQL)"""
-    return table(spark, sf_dir, "documents").select("doc_id", *[v.alias(k) for k, v in T.readability("text").items()])
+    return table(spark, sf_dir, "documents").select("doc_id", T.readability("text").alias("f")).select("doc_id", "f.*")
 
 
 @query(
@@ -150,9 +150,8 @@ select documents.doc_id, n::int as n_sentences, (c / n)::double as chars_per_sen
 )
 def simplicity_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F21"""
-    f = T.simplicity("text")
-    keep = ("n_sentences", "chars_per_sent", "words_per_sent", "long_sent_ratio")
-    return table(spark, sf_dir, "documents").select("doc_id", *[f[k].alias(k) for k in keep])
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.simplicity("text").alias("f"))
+    return rows.select("doc_id", "f.n_sentences", "f.chars_per_sent", "f.words_per_sent", "f.long_sent_ratio")
 
 
 _VOCAB = "v as (select w, (1 + (count(*) % 6))::int as grade from (select distinct doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{2,6}'))) as w from documents) group by w having count(*) >= 5)"
