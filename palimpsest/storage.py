@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_ROOT = "/tmp/checkpoints"
+_WRITTEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder, once the results that read it are saved; how many tables."""
+    n = len(_WRITTEN)
+    for path in list(_WRITTEN):
+        delete(spark, path)
+    return n
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +64,7 @@ def discard(df: DataFrame) -> None:
 
 
 def delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.discard(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

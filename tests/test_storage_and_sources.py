@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from palimpsest import storage
 from palimpsest.functions.profiles import KO
 from palimpsest.operators import relational as R
 from palimpsest.plans import document_schema as D
@@ -13,7 +14,10 @@ from palimpsest.streaming import incremental as I
 def test_stage(spark):
     df = stage(spark.range(5).withColumn("x", F.lit("a")), "t")
     assert df.count() == 5 and df.columns == ["id", "x"]
+    path = df._palimpsest_path
+    assert path in storage._WRITTEN
     discard(df)
+    assert path not in storage._WRITTEN
 
 
 def test_text_sections(spark, tmp_path):
