@@ -18,6 +18,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Beside whole words their beginnings are terms, so that inflected and compound words share evidence.
 PREFIXES = (4, 5, 6)
 TERM_BITS = 31
+#: Words whose terms a worker keeps, and rows it holds terms of at a time.
+CACHE, SLICE = 80_000, 512
 
 
 def terms(word: str) -> list[int]:
@@ -98,17 +100,19 @@ def calibrate(model: FactorizationMachine, flat: np.ndarray, lengths: np.ndarray
 def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cached: dict[str, list[int]] = {}
     for b in batches:
-        out = []
-        for t in b.column(0):
-            own: set[int] = set()
-            for word in word_set(t.as_py()):
-                if (got := cached.get(word)) is None:
-                    if len(cached) > 200_000:
-                        cached.clear()
-                    got = cached[word] = terms(word)
-                own.update(got)
-            out.append(sorted(own))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column(1), b.column(2)], names=["terms", "label", "place"])
+        for low in range(0, b.num_rows, SLICE):
+            part = b.slice(low, SLICE)
+            out = []
+            for t in part.column(0):
+                own: set[int] = set()
+                for word in word_set(t.as_py()):
+                    if (got := cached.get(word)) is None:
+                        if len(cached) > CACHE:
+                            cached.clear()
+                        got = cached[word] = terms(word)
+                    own.update(got)
+                out.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), part.column(1), part.column(2)], names=["terms", "label", "place"])
 
 
 def fold(id_col: Column, folds: int = 5) -> Column:
@@ -168,11 +172,11 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, *, text_
         for b in batches:
             texts = b.column(b.num_columns - 1)
             scores = np.zeros(b.num_rows)
-            for at in range(0, b.num_rows if fm else 0, 512):
-                rows = [_positions(t.as_py(), fm.known, cached) for t in texts.slice(at, 512)]
+            for at in range(0, b.num_rows if fm else 0, SLICE):
+                rows = [_positions(t.as_py(), fm.known, cached) for t in texts.slice(at, SLICE)]
                 flat = np.fromiter((i for r in rows for i in r), np.int64)
                 z = fm.margin(flat, np.fromiter(map(len, rows), np.int64, len(rows)))
-                scores[at : at + 512] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                scores[at : at + SLICE] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
@@ -186,7 +190,7 @@ def _positions(text: str | None, known: np.ndarray, cached: dict[str, tuple[int,
     words = word_set(text)
     new = [w for w in words if w not in cached]
     if new:
-        if len(cached) > 200_000:
+        if len(cached) > CACHE:
             cached.clear()
             new = list(words)
         each = [terms(w) for w in new]
