@@ -1,0 +1,187 @@
+"""Near-duplicate removal by exact Jaccard similarity of word shingles; candidates by MinHash bands."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.llm.components import connected_components
+from palimpsest.llm.simhash import keep_first, text_hash
+from palimpsest.storage import stage
+
+WORDS, SIMILARITY = 5, 0.8
+#: A pair of similarity s meets in no band with probability (1 - s^ROWS)^BANDS: 7e-6 at 0.8.
+BANDS, ROWS = 30, 5
+_RNG = np.random.default_rng(7)
+_MULT = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+#: Standard deviations of agreeing MinHashes below the mean that a candidate may have and still be compared exactly.
+SLACK = 6
+#: In runs of one key up to this long every pair is a candidate; longer ones first meet their least member.
+SHORT_RUN = 16
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's word shingles; fewer words: the whole sequence; none: empty."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(len(tokens) - words + 1, min(len(tokens), 1))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), 42) for i in range(n)), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def minhashes(shingles: np.ndarray) -> np.ndarray:
+    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 512):
+        out = np.minimum(out, (shingles[at : at + 512, None] * _MULT + _ADD).min(axis=0))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
+def band_keys(signature: np.ndarray) -> list[int]:
+    return [xxhash.xxh64_intdigest(signature[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def _described(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(doc_id, h, node, n, keys, sketch): node the hash of the shingle set, n its size, sketch a byte of each MinHash."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, keys, sketches = [], [], [], []
+            for t in b.column(1):
+                s = shingle_set(t.as_py(), words)
+                m = minhashes(s)
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63))
+                sizes.append(len(s))
+                keys.append(band_keys(m))
+                sketches.append((m & np.uint32(255)).astype(np.uint8).tobytes())
+            columns = [b.column(0), b.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "node", "n", "keys", "sketch"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("h"))
+    return rows.mapInArrow(made, f"doc_id {kind}, h long, node long, n int, keys array<long>, sketch binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns, in pieces that end where a run of equal keys (first column) ends."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if sum(len(x[0]) for x in held) >= 500_000:
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            if cut:
+                yield [x[:cut] for x in whole]
+            held = [[x[cut:] for x in whole]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _bounds(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
+    long = np.diff(edges) > 1
+    return zip(edges[:-1][long].tolist(), edges[1:][long].tolist(), strict=True)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of runs of two or more."""
+    for keys, nodes, sizes in _runs(batches):
+        keep = np.zeros(len(keys), bool)
+        for s, e in _bounds(keys):
+            keep[s:e] = True
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(nodes[keep]), pa.array(sizes[keep])], names=["key", "node", "n"])
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _first_pairs(similarity: float):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, sizes in _runs(batches):
+            for s, e in _bounds(keys):
+                v, n = nodes[s:e], sizes[s:e]
+                i, j = np.triu_indices(e - s, 1) if e - s <= SHORT_RUN else (np.full(e - s - 1, at := int(v.argmin())), np.delete(np.arange(e - s), at))
+                ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+                if ok.any():
+                    yield _ordered(v[i][ok], v[j][ok])
+
+    return made
+
+
+def _cross_pairs(similarity: float):
+    """All pairs of a run whose members have different labels."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, nodes, sizes, labels in _runs(batches):
+            for s, e in _bounds(keys):
+                v, n, c = nodes[s:e], sizes[s:e], labels[s:e]
+                for i in range(e - s - 1) if e - s > SHORT_RUN and (c != c[0]).any() else ():
+                    ok = (c[i + 1 :] != c[i]) & (np.minimum(n[i], n[i + 1 :]) >= similarity * np.maximum(n[i], n[i + 1 :]) - 1e-9)
+                    if ok.any():
+                        yield _ordered(np.full(int(ok.sum()), v[i]), v[i + 1 :][ok])
+
+    return made
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have the similarity; the sketch goes first, then the sets themselves."""
+    total = BANDS * ROWS
+    least = total * similarity - SLACK * (total * similarity * (1 - similarity)) ** 0.5
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, total) for c in b.columns[2:])
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    def with_both(pairs: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        return pairs.join(of.select(F.col("node").alias("a"), F.col(name).alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col(name).alias("y")), "b").select("a", "b", "x", "y")
+
+    near = stage(with_both(pairs.distinct(), nodes, "sketch").mapInArrow(agreeing, "a long, b long"), "near-pairs")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    texts = docs.join(nodes.join(wanted, "node").select("node", "of_id", "of_h"), (F.col("__d").eqNullSafe(F.col("of_id"))) & (F.col("__h") == F.col("of_h"))).select("node", "__t")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], names=["node", "shingles"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    own = stage(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
+    return stage(with_both(near, own, "shingles").mapInArrow(similar, "a long, b long"), "near-links")
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    Equal shingle sets are one node. Nodes that share a MinHash band are candidates and every link is verified on the
+    sets. A long run of one band first meets its least member only; of what is still in different groups after that,
+    all pairs of the run are candidates. Which row of a group stays: see ``simhash_dedup``.
+    """
+    rows = stage(_described(docs, id_col, text_col, words), "near-rows")
+    first = F.min_by(F.struct("doc_id", "h", "n", "keys", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
+    nodes = stage(rows.groupBy("node").agg(first.alias("r")).select("node", F.col("r.doc_id").alias("of_id"), F.col("r.h").alias("of_h"), "r.n", "r.keys", "r.sketch"), "near-nodes")
+    own = docs.select(F.col(id_col).alias("__d"), F.col(text_col).alias("__t"), text_hash(text_col).alias("__h"))
+    by_key = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
+    runs = stage(by_key.mapInArrow(_shared, "key long, node long, n int"), "near-runs")
+    met = runs.repartition("key").sortWithinPartitions("key")
+    links = _verified(met.mapInArrow(_first_pairs(similarity), "a long, b long"), nodes, own, words, similarity)
+    labels = connected_components(links)
+    known = runs.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    rest = known.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_pairs(similarity), "a long, b long")
+    more = _verified(rest, nodes, own, words, similarity)
+    if more.limit(1).count():
+        labels = connected_components(links.union(more))
+    labelled = rows.select("doc_id", "h", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return keep_first(docs, labelled, id_col, text_col)

@@ -236,7 +236,12 @@ def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     a shuffle join beyond. Of rows that repeat the same id and text, one stays.
     """
     rows, ids = _components(docs, id_col, text_col, words, bits)
-    pairs = rows.join(ids.select("fp", "label"), "fp").groupBy("label", "doc_id", "h").agg(F.count("*").alias("n"))
+    return keep_first(docs, rows.join(ids.select("fp", "label"), "fp"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the first row of each label; ``labelled``: label, doc_id and text hash h of every row."""
+    pairs = labelled.groupBy("label", "doc_id", "h").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
     first = pairs.groupBy("label").agg(F.min(order).alias("first"))
     judged = pairs.join(first, "label").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "n", (order == F.col("first")).alias("stays"))
