@@ -46,9 +46,15 @@ def cooccurrence_candidates(terms: DataFrame, grams: DataFrame, pair: str, term:
 
 
 def longest_variant(terms: DataFrame, pool: DataFrame, doc: str, term: str, other: str, least: int = 3) -> DataFrame:
-    """Of a document's pool, the longest entry that contains a term or that it contains; ties go to the first by name."""
-    near = (F.contains(F.col(other), F.col(term)) | F.contains(F.col(term), F.col(other))) & (F.col(other) != F.col(term)) & (F.length(other) >= least) & (F.length(term) >= 2)
-    hit = terms.join(pool, doc).where(near)
+    """Of a document's pool, the longest entry that contains a term or that it contains; ties go to the first by name.
+
+    Both meet on equal parts of words, so the rows grow with the words and not with pairs of them.
+    """
+    parts = lambda c, n: F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(n), F.length(c)), lambda k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, k))))))
+    terms, pool = terms.where(F.length(term) >= 2), pool.where(F.length(other) >= least)
+    inside = pool.select(doc, other, parts(other, 2).alias(term)).join(terms.select(doc, term), [doc, term]).select(doc, term, other)
+    around = terms.where(F.length(term) >= least).select(doc, term, parts(term, least).alias(other)).join(pool.select(doc, other), [doc, other]).select(doc, term, other)
+    hit = inside.union(around).where(F.col(other) != F.col(term))
     best = F.row_number().over(Window.partitionBy(doc, term).orderBy(F.length(other).desc(), other))
     return hit.withColumn("__n", best).where("__n = 1").select(doc, term, F.col(other).alias("variant"))
 

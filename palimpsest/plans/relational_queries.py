@@ -259,8 +259,17 @@ h as (select t.doc_id, word, other, row_number() over (partition by t.doc_id, wo
 select doc_id, word, other as variant from h where k = 1"""
 )
 def longest_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J18 (60 documents' words; pairs are within a document)"""
-    tokens = _tokens(spark, sf_dir).where("doc_id < 60")
+    """J18 (60 documents' words, as its SQL has it; ``longest_variant_all`` takes every document)"""
+    return _longest_variant(_tokens(spark, sf_dir).where("doc_id < 60"))
+
+
+@query()
+def longest_variant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J18 over every document; pairs are within a document"""
+    return _longest_variant(_tokens(spark, sf_dir))
+
+
+def _longest_variant(tokens: DataFrame) -> DataFrame:
     terms = tokens.where("length(word) >= 6").select("doc_id", "word").distinct()
     pool = tokens.select("doc_id", F.lower("word").alias("other")).distinct()
     return MI.longest_variant(terms, pool, "doc_id", "word", "other")
@@ -313,9 +322,18 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with v as (select 'text' as c, text as v from documents where doc_id < 200 union all select 'source', source || ' name' from documents where doc_id < 200) select c as column, count(*) as n, avg(len(regexp_extract_all(v, '[A-Za-z]'))::double / length(v)) as letter_ratio, avg(length(v)) as mean_length from v where length(v) >= 8 group by c having count(*) >= 5")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17 (200 documents, the profile's sample size)"""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("text", F.concat("source", F.lit(" name")).alias("source"))
-    return R.column_profile(docs, ["text", "source"], "[A-Za-z]", sample=200)
+    """A17 (the first 200 documents, as its SQL has it; ``column_profile_all`` samples all rows)"""
+    return _column_profile(table(spark, sf_dir, "documents").where("doc_id < 200"))
+
+
+@query()
+def column_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 values a column, sampled by hash out of all rows"""
+    return _column_profile(table(spark, sf_dir, "documents"))
+
+
+def _column_profile(docs: DataFrame) -> DataFrame:
+    return R.column_profile(docs.select("text", F.concat("source", F.lit(" name")).alias("source")), ["text", "source"], "[A-Za-z]", sample=200)
 
 
 @query()

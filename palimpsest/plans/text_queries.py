@@ -164,11 +164,20 @@ h as (select word, arg_max(grade, length(w)) as grade from t join v on starts_wi
 select word, grade from t left join h using (word)"""
 )
 def vocab_longest_prefix_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first 500 documents against a vocabulary of frequent short ones"""
-    docs = table(spark, sf_dir, "documents")
+    """Words of the first 500 documents, as its SQL has it, against a vocabulary of frequent short ones"""
+    return _prefix_grades(table(spark, sf_dir, "documents"), "doc_id < 500")
+
+
+@query()
+def vocab_longest_prefix_grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document against the same vocabulary"""
+    return _prefix_grades(table(spark, sf_dir, "documents"), "true")
+
+
+def _prefix_grades(docs: DataFrame, which: str) -> DataFrame:
     short = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,6}"), F.lit(0))).alias("w")).select("doc_id", F.lower("w").alias("w")).distinct()
     vocab = short.groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").select("w", (1 + F.col("n") % 6).cast("int").alias("grade"))
-    tokens = docs.where("doc_id < 500").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).select(F.lower("x").alias("word")).distinct()
+    tokens = docs.where(which).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).select(F.lower("x").alias("word")).distinct()
     return R.longest_prefix(tokens, vocab, "word", "w", "grade")
 
 
