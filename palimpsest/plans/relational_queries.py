@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import spans as SP
@@ -219,8 +219,18 @@ def first_occurrence_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, n::int as brackets from p"""
 )
 def bracket_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W9 input"""
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(F.left("text", F.lit(2000)), "[^()]", "")).alias("brackets"))
+    """W9 input (first 2,000 characters, as its SQL has it; ``bracket_count_all`` takes the whole text)"""
+    return _brackets(spark, sf_dir, F.left("text", F.lit(2000)))
+
+
+@query()
+def bracket_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W9 input over whole texts"""
+    return _brackets(spark, sf_dir, F.col("text"))
+
+
+def _brackets(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(text, "[^()]", "")).alias("brackets"))
 
 
 _GRAMS = "g as (select distinct conv_id || ':' || turn as pair, lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,8}'))) as cand from conversations where role = 'assistant'), t as (select distinct conv_id || ':' || turn as pair, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,4}'))) as term from conversations where role = 'assistant')"

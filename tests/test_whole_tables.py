@@ -38,3 +38,12 @@ def test_late_ids_count(spark, tables):
 def test_profile_samples_all_rows(spark, tables):
     d = tables("documents", [(500 + i, f"text number {i}", "source", 1) for i in range(300)], DOCS)
     assert {(r.column, r.n) for r in Q["column_profile_all"](spark, d).collect()} == {("text", 200), ("source", 200)}
+
+
+def test_long_texts_and_null_lengths_count(spark, tables):
+    sents = [f"Sentence number {i} is here (in brackets)." for i in range(200)]
+    d = tables("documents", [(1, " ".join(sents), "web", 9000), (2, " ".join(sents[:2]), "web", None)], DOCS)
+    chunks = Q["chunk_window_1_3_all"](spark, d).collect()
+    want = {" ".join(sents[i : i + k]) for k in (1, 2, 3) for i in range(201 - k)}
+    assert {r.chunk for r in chunks if r.doc_id == 1} == want and len([r for r in chunks if r.doc_id == 2]) == 3
+    assert {tuple(r) for r in Q["bracket_count_all"](spark, d).collect()} == {(1, 400), (2, 4)}
