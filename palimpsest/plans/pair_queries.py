@@ -15,6 +15,7 @@ from palimpsest.operators import similarity as S
 from palimpsest.operators.mining import term_coverage
 from palimpsest.plans.inputs import PAIRS, doc_sentences, sents_of, sql_jaccard, sql_ngrams, sql_sents, sql_squeeze, sql_units, sql_words, table, turn_pairs
 from palimpsest.plans.registry import query
+from palimpsest.storage import stage
 
 _KS, _OO = (f"list_transform({sql_sents(x)}, lambda y: {sql_squeeze('y')})" for x in ("src", "out"))
 _KW, _OW = sql_words("src"), sql_words("out")
@@ -277,11 +278,26 @@ def perturbation_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def omission_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of a sentence by its document without it, without a clause of it and without a term"""
-    s = doc_sentences(spark, sf_dir, ("doc_id",)).where("length(text) between 30 and 300 and doc_id % 10 = sent_id % 10")
-    made = {"CLAUSE": P.omit_clause("text"), "TERM": P.omit_term("text", LATIN.terms), "OFF_TOPIC": F.lit(LATIN.off_topic[0])}
-    rows = s.select("doc_id", "sent_id", "text", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("premise")) for k, v in made.items()]))).where("premise is not null")
-    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.avg(S.lexical_scorer(F.col("premise"), F.col("text"))).alias("mean"))
+    """Coverage of a sentence by its document without it, without a clause of it and without a term
+
+    A word of the sentence is in such a premise if another sentence of the document has it or what is left of the sentence has.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("rid"), T.split_sentences("text", LATIN).alias("sents"))
+    every = docs.select("rid", F.size("sents").alias("of"), F.posexplode("sents").alias("sent_id", "text"))
+    every = stage(every.withColumn("words", T.word_set("text")), "omission-sentences")
+    word = every.select("rid", "sent_id", F.explode(F.array_distinct("words")).alias("w"))
+    often = word.groupBy("rid", "w").agg(F.count("*").alias("n")).where("n > 1").select("rid", "w")
+    told = word.join(often, ["rid", "w"]).groupBy("rid", "sent_id").agg(F.collect_list("w").alias("told"))
+    s = every.where("length(text) between 30 and 300").join(told, ["rid", "sent_id"], "left")
+    s = s.withColumn("told", F.coalesce("told", F.array().cast("array<string>")))
+    left = {"FULL": F.when(F.col("of") >= 4, F.lit("")), "CLAUSE": P.omit_clause("text"), "TERM": P.omit_term("text", LATIN.terms)}
+    none = F.array().cast("array<string>")
+    premises = [F.struct(F.lit(k).alias("kind"), v.alias("rest"), F.col("told").alias("told")) for k, v in left.items()]
+    premises.append(F.struct(F.lit("OFF_TOPIC").alias("kind"), F.lit(LATIN.off_topic[0]).alias("rest"), none.alias("told")))
+    rows = s.select("words", F.inline(F.array(*premises))).where("rest is not null")
+    found = F.size(F.array_intersect("words", F.concat("told", T.word_set("rest"))))
+    score = F.when(F.size("words") > 0, found / F.size("words")).otherwise(0.0)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.avg(score).alias("mean"))
 
 
 @query(

@@ -47,3 +47,17 @@ def test_long_texts_and_null_lengths_count(spark, tables):
     want = {" ".join(sents[i : i + k]) for k in (1, 2, 3) for i in range(201 - k)}
     assert {r.chunk for r in chunks if r.doc_id == 1} == want and len([r for r in chunks if r.doc_id == 2]) == 3
     assert {tuple(r) for r in Q["bracket_count_all"](spark, d).collect()} == {(1, 400), (2, 4)}
+
+
+def test_omission_takes_every_sentence(spark, tables):
+    sents = [f"The patient number{i} came in today, and stayed for {i} nights here." for i in range(12)]
+    d = tables("documents", [(5, " ".join(sents), "web", 1), (None, " ".join(sents[:5]), "web", 1), (6, " ".join(sents[:3]), "web", 1)], DOCS)
+    got = {r.kind: r for r in Q["omission_detection"](spark, d).collect()}
+    words = lambda s: set(re.findall(r"\w+", s.lower()))
+    want = []
+    for n in (12, 5):
+        for i in range(n):
+            rest = set().union(*(words(x) for k, x in enumerate(sents[:n]) if k != i))
+            want.append(len(words(sents[i]) & rest) / len(words(sents[i])))
+    assert got["FULL"].n == 17 and abs(got["FULL"].mean - sum(want) / 17) < 1e-9
+    assert got["CLAUSE"].n == got["OFF_TOPIC"].n == 20
