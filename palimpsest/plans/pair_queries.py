@@ -29,10 +29,19 @@ select conv_id, turn, (length(b) / greatest(length(a), 1))::double as compressio
   case when a = '' and b = '' then 1.0::double else 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) end as levenshtein_sim from p where regexp_full_match(a || b, '[\\x00-\\x7F]*')"""
 )
 def turn_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F18 F19 J1 J13 (plain ASCII pairs, as DuckDB's levenshtein counts bytes)"""
+    """F18 F19 J1 J13 (plain ASCII pairs, as its SQL has it, as DuckDB's levenshtein counts bytes; ``turn_pair_metrics_all`` takes every pair)"""
+    return _turn_metrics(turn_pairs(spark, sf_dir).where(F.concat(T.squeeze("src"), T.squeeze("out")).rlike(r"\A[\x00-\x7F]*\z")))
+
+
+@query()
+def turn_pair_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18 F19 J1 J13 over every pair"""
+    return _turn_metrics(turn_pairs(spark, sf_dir))
+
+
+def _turn_metrics(pairs: DataFrame) -> DataFrame:
     m = T.edit_metrics(F.col("src"), F.col("out"))
     keep = ("compression", "exact_copies", "split_ratio", "added_pct", "deleted_pct")
-    pairs = turn_pairs(spark, sf_dir).where(F.concat(T.squeeze("src"), T.squeeze("out")).rlike(r"\A[\x00-\x7F]*\z"))
     return pairs.select("conv_id", "turn", *[m[k].alias(k) for k in keep], T.levenshtein_similarity("src", "out").alias("levenshtein_sim"))
 
 
@@ -313,11 +322,17 @@ def translation_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {PAIRS}, {_NUM} select conv_id, turn, regexp_replace(src, '(\\d{{1,4}})(\\s*)(%|days|weeks|months|years|hours|min|mg|ml|cm|kg)', (3 * (turn + 2) + 1) || '\\2\\3') as changed from numbered where not regexp_matches(src, '\\d.*Take ')"""
 )
 def number_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first number becomes three times itself and one (turns whose own text has no digits)"""
+    """The first number becomes three times itself and one (turns whose own text has no digits, as its SQL has it; ``number_corruption_all`` takes every turn)"""
     rows = numbered_pairs(spark, sf_dir).where(~F.col("src").rlike(r"\d.*Take "))
     return rows.select("conv_id", "turn", P.change_number("src").alias("changed"))
 
 
+@query()
+def number_corruption_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first number of every turn becomes three times itself and one"""
+    return numbered_pairs(spark, sf_dir).select("conv_id", "turn", P.change_number("src").alias("changed"))
+
+
 @query()
 def korean_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F27 F29 F34 with the Korean profile, over its own term list"""

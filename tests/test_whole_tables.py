@@ -61,3 +61,24 @@ def test_omission_takes_every_sentence(spark, tables):
             want.append(len(words(sents[i]) & rest) / len(words(sents[i])))
     assert got["FULL"].n == 17 and abs(got["FULL"].mean - sum(want) / 17) < 1e-9
     assert got["CLAUSE"].n == got["OFF_TOPIC"].n == 20
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+TURNS = "conv_id long, turn int, role string, text string"
+
+
+def test_accented_pairs_and_turns_with_digits_count(spark, tables):
+    said = [("Où est la clé du café près d'ici ?", "La clé est à la réception."), ("Give 2 mg now.", "Giving 2 mg now."), ("plain words only", "plain words alone")]
+    d = tables("conversations", [(i, t, ("user", "assistant")[t], said[i][t]) for i in range(3) for t in (0, 1)], TURNS)
+    got = {r.conv_id: r.levenshtein_sim for r in Q["turn_pair_metrics_all"](spark, d).collect()}
+    assert set(got) == {0, 1, 2} and all(abs(got[i] - (1 - _levenshtein(a, b) / max(len(a), len(b)))) < 1e-9 for i, (a, b) in enumerate(said))
+    changed = {r.conv_id: r.changed for r in Q["number_corruption_all"](spark, d).collect()}
+    assert set(changed) == {0, 1, 2} and changed[1].startswith("Give 7 mg now.")
