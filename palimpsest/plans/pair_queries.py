@@ -93,19 +93,32 @@ def numeric_verifier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def numeric_verifier_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source number that the output lacks, with the first output number within 60 characters of the same neighbouring word"""
+    """A source number that the output lacks, with the output number that took its place
+
+    Each word of 3 letters or more within 35 characters of the number is sought at all its places in the output; the first
+    by word and place with an output number within 60 characters counts. Where that number is in the source or there is none,
+    the number is lost: changed_to is null.
+    """
     rows = numbered_pairs(spark, sf_dir)
-    pattern = LATIN.number_unit
-    spans = lambda c: SP.pattern_spans(F.col(c), pattern)
-    word = r"(\w{3,})\W*$"
-    src = rows.select("conv_id", "turn", "src", "out", F.explode(spans("src")).alias("n"))
-    src = src.select("conv_id", "turn", "out", T.without_spaces(F.col("n.raw")).alias("tok"), F.col("n.s").alias("pos"), F.regexp_extract(F.left("src", F.col("n.s")), word, 1).alias("kw"))
-    lost = src.where(~F.exists(T.number_units("out"), lambda x: x == F.col("tok")) & (F.col("kw") != ""))
-    hits = lost.withColumn("at", F.position(F.col("kw"), F.col("out"))).where("at > 0").select("conv_id", "turn", "tok", "pos", F.col("at").cast("long").alias("at"))
-    out = rows.select("conv_id", "turn", F.explode(spans("out")).alias("n")).select("conv_id", "turn", T.without_spaces(F.col("n.raw")).alias("other"), (F.col("n.s") + 1).cast("long").alias("opos"))
-    near = R.interval_join(hits, out, ["conv_id", "turn"], "at", "opos", 60)
-    best = near.groupBy("conv_id", "turn", "l_tok", "l_pos").agg(F.min_by("r_other", "r_opos").alias("changed_to"))
-    return best.select("conv_id", "turn", F.col("l_tok").alias("number"), F.col("l_pos").alias("position"), "changed_to")
+    spans = lambda c: SP.pattern_spans(F.col(c), LATIN.number_unit)
+    src = rows.withColumns({"s_toks": T.number_units("src"), "o_toks": T.number_units("out")})
+    src = src.select("conv_id", "turn", "src", "out", "s_toks", "o_toks", F.explode(spans("src")).alias("n"))
+    src = src.withColumns({"tok": T.without_spaces(F.col("n.raw")), "pos": F.col("n.s")}).where(~F.array_contains("o_toks", F.col("tok")))
+    start = F.greatest(F.col("pos") - 35, F.lit(0))
+    near = F.substring(F.col("src"), start + 1, F.col("pos") + 35 - start)
+    words = src.select("conv_id", "turn", "out", "s_toks", "tok", "pos", F.posexplode(F.regexp_extract_all(near, F.lit(r"\p{L}{3,}"), F.lit(0))).alias("nth", "kw"))
+    gaps = F.transform(F.split("out", F.concat(F.lit(r"\Q"), F.col("kw"), F.lit(r"\E")), -1), F.length)
+    parts = words.withColumn("gaps", gaps).where(F.size("gaps") > 1)
+    parts = parts.select("conv_id", "turn", "s_toks", "tok", "pos", "nth", F.length("kw").alias("k"), F.posexplode(F.slice("gaps", F.lit(1), F.size("gaps") - 1)).alias("m", "gap"))
+    w = Window.partitionBy("conv_id", "turn", "pos", "nth").orderBy("m")
+    hits = parts.select("conv_id", "turn", "s_toks", "tok", "pos", "nth", (F.sum("gap").over(w) + F.col("m") * F.col("k")).alias("at"))
+    out = rows.select("conv_id", "turn", F.explode(spans("out")).alias("n")).select("conv_id", "turn", T.without_spaces(F.col("n.raw")).alias("other"), F.col("n.s").cast("long").alias("opos"))
+    met = R.interval_join(hits, out, ["conv_id", "turn"], "at", "opos", 60)
+    first = F.min_by("r_other", F.struct("l_nth", "l_at", "r_opos")).alias("changed_to")
+    best = met.groupBy("conv_id", "turn", "l_tok", "l_pos").agg(first, F.first("l_s_toks").alias("s_toks"))
+    best = best.where(~F.array_contains("s_toks", F.col("changed_to"))).select("conv_id", "turn", F.col("l_tok").alias("tok"), F.col("l_pos").alias("pos"), "changed_to")
+    every = src.select("conv_id", "turn", "tok", "pos").join(best, ["conv_id", "turn", "tok", "pos"], "left")
+    return every.select("conv_id", "turn", F.col("tok").alias("number"), F.col("pos").alias("position"), "changed_to")
 
 
 _LEX = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'))"

@@ -82,3 +82,30 @@ def test_accented_pairs_and_turns_with_digits_count(spark, tables):
     assert set(got) == {0, 1, 2} and all(abs(got[i] - (1 - _levenshtein(a, b) / max(len(a), len(b)))) < 1e-9 for i, (a, b) in enumerate(said))
     changed = {r.conv_id: r.changed for r in Q["number_corruption_all"](spark, d).collect()}
     assert set(changed) == {0, 1, 2} and changed[1].startswith("Give 7 mg now.")
+
+
+UNITS = re.compile(r"(?<![\d.])(\d{1,4})\s*(%|days|weeks|months|years|hours|min|mg|ml|cm|kg)")
+
+
+def _changed(src, out):
+    s, o = ([(re.sub(r"\s", "", m[0]), m.start()) for m in UNITS.finditer(t)] for t in (src, out))
+    for tok, pos in s:
+        if tok in {x for x, _ in o}:
+            continue
+        found = None
+        for kw in re.findall(r"[^\W\d_]{3,}", src[max(0, pos - 35) : pos + 35]):
+            for m in re.finditer(re.escape(kw), out):
+                near = [x for x, at in o if abs(at - m.start()) <= 60]
+                found = found or (near[0] if near else None)
+        yield tok, pos, None if found in {x for x, _ in s} else found
+
+
+def test_changed_numbers_by_all_words_and_places(spark, tables):
+    replies = ["for now. " + "filler text " * 20 + "And so", "short", "Take it. " + "so on " * 30 + "give 5 mg for", "Take 77 kg, days later"]
+    said = [(("user", "assistant")[t], (f"Question {i}, give 12 ml for it" * (i % 2 + 1), replies[i % 4])[t]) for i in range(30) for t in (0, 1)]
+    d = tables("conversations", [(k // 2, k % 2, r, t) for k, (r, t) in enumerate(said)], TURNS)
+    want = set()
+    for i in range(30):
+        src, out = said[2 * i][1] + f" Take 2 mg for {i % 9} days.", said[2 * i + 1][1] + f" Take 2mg for {i % 7} days."
+        want |= {(i, 0, *x) for x in _changed(src, out)}
+    assert any(x[-1] for x in want) and {tuple(r) for r in Q["numeric_verifier_changed"](spark, d).collect()} == want
