@@ -90,7 +90,7 @@ def linked_spans(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """
     parts = stage(_parts(rows), "secret-parts")
     weak = parts.where(F.col("k") >= len(BASE))
-    cells = F.sequence(F.floor((F.col("s") - scope) / scope), F.floor((F.col("e") + scope) / scope))
+    cells = F.sequence(F.floor((F.col("s") - scope - 1) / scope), F.floor((F.col("e") + scope) / scope))
     a = weak.withColumn("cell", F.explode(cells)).alias("a")
     first, last = F.floor(F.col("s") / scope), F.floor((F.col("e") - 1) / scope)
     b = parts.withColumn("cell", F.explode(F.array_distinct(F.array(first, last)))).alias("b")

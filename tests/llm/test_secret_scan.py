@@ -64,3 +64,11 @@ def test_empty_and_other_columns(spark):
     assert S.secret_digests(S.scan_secrets(df)).count() == 0
     df = spark.createDataFrame([(1, "password=abcdefg", "x", 2)], "doc_id long, text string, spans string, rid long")
     assert S.secret_digests(S.scan_secrets(df)).first().n_assign == 1
+
+
+def test_parts_exactly_in_scope_at_a_cell_edge(spark):
+    texts = [" " * 160 + "password=" + "z" * 31 + " " * 200 + "ABCD1234" * 3, " " * 159 + "password=" + "z" * 31 + " " * 201 + "ABCD1234" * 3]
+    assert S.SCOPE == 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in S.secret_digests(S.scan_secrets(df)).collect()}
+    assert got == {i: brute(t)[1] for i, t in enumerate(texts)} and "ident:400:" in got[0] and "ident:" not in got[1]
