@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -13,16 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
+from palimpsest.llm.golay import SEGMENTS, codeword_index
+from palimpsest.llm.joins import attach, masked, unmasked
+from palimpsest.llm.strata import similar_labels
 from palimpsest.storage import stage
 
-#: The 64 bits are cut into segments (lowest bit, bits). At most 4 errors leave two segments with at most 2 errors in each.
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Generator of the binary [23, 12, 7] Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GENERATOR = 0b101011100011
 #: No vector has more neighbouring codewords than this: its own, and at most 5 at distance 4.
 KEYS = 6
-#: Ids and hashes of rows that go are broadcast up to this many (about 20 bytes each).
-BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -44,47 +40,20 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int((np.uint64(1) << np.flatnonzero(2 * votes > n).astype(np.uint64)).sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, *, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(doc_id, h, fp): h the XXH64 of the text, fp the fingerprint's 64 bits as a signed long."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` (i, h, t) as (i, h, fp), fp the fingerprint's 64 bits as a signed long."""
+    kind = rows.schema["i"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["i", "h", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("h")).mapInArrow(made, f"doc_id {kind}, h long, fp long")
+    return rows.mapInArrow(made, f"i {kind}, h long, fp long")
 
 
-def text_hash(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
-@cache
-def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Syndromes of the low 12 and the high 11 bits, and the error of weight 3 or less that each syndrome stands for."""
-
-    def remainder(v: int) -> int:
-        for bit in range(22, 10, -1):
-            if v >> bit & 1:
-                v ^= GENERATOR << (bit - 11)
-        return v
-
-    low = np.array([remainder(v) for v in range(1 << 12)], np.int32)
-    high = np.array([remainder(v << 12) for v in range(1 << 11)], np.int32)
-    errors = np.full(1 << 11, -1, np.int32)
-    for weight in range(4):
-        for bits in combinations(range(23), weight):
-            e = sum(1 << b for b in bits)
-            errors[low[e & 4095] ^ high[e >> 12]] = e
-    assert (errors >= 0).all(), "the code is perfect"
-    return low, high, errors
-
-
-def codeword_index(v: np.ndarray) -> np.ndarray:
-    """The 12 information bits of the codeword nearest to each 23-bit vector."""
-    low, high, errors = golay_tables()
-    return (v ^ errors[low[v & 4095] ^ high[v >> 12]]) >> 11
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def segment_keys(v: np.ndarray, bits: int) -> np.ndarray:
@@ -206,14 +175,21 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     return met.mapInArrow(made, "a long, b long").distinct()
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Staged rows (doc_id, h, fp) and staged fingerprints (fp, label, component_id)."""
-    rows = stage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "simhash-rows")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("i"), text_hash(text).alias("h"), text.alias("t"))
+
+
+def _components(texts: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Staged rows (i, h, fp), and the fingerprints that several rows have or that are linked (fp, label, component_id, n_rows)."""
+    rows = stage(fingerprints(texts, words), "simhash-rows")
+    nodes = stage(rows.groupBy("fp").agg(F.min("i").alias("least"), F.count("*").alias("n_rows")), "simhash-nodes")
     labels = connected_components(links(nodes, bits))
-    grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows, stage(grouped.join(least, "label").select("fp", "label", "component_id"), "simhash-ids")
+    linked = stage(nodes.join(labels.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
+    least = stage(linked.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n_rows")), "simhash-least")
+    known = attach(linked, least, ["label"], how="inner").select("fp", "label", "component_id", "n_rows")
+    alone = nodes.where("n_rows > 1").join(labels.withColumnRenamed("node", "fp"), "fp", "left_anti")
+    return rows, stage(known.unionByName(alone.select("fp", F.col("fp").alias("label"), F.col("least").alias("component_id"), "n_rows")), "simhash-ids")
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
@@ -223,33 +199,46 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text of fewer words is one shingle, one without words (null, empty) has fingerprint zero and is linked like any
     other. Links join fingerprints with at most ``bits`` differing bits. Equal fingerprints are one node, however
     many rows have them; candidates meet by Golay keys and each is verified. A component of null ids only has
-    component_id null; a null id never stands before an id. Empty in, empty out.
+    component_id null; a null id never stands before an id. Empty in, empty out; other columns don't matter.
     """
-    rows, ids = _components(docs, id_col, text_col, words, bits)
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, ids = _components(_texts(docs, id_col, text_col), words, bits)
+    found = attach(rows, ids, ["fp"])
+    return found.select(F.col("i").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("label").isNull(), F.col("i")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """``docs`` (all its columns) with one row of each component: that of the smallest id, of these the smallest text hash.
+def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (all its columns) with one row of each group of near copies: that of the smallest id, of these the smallest text hash.
 
-    Null ids come last. Only ids of rows that go meet ``docs`` again, by broadcast up to BROADCAST_ROWS rows and by
-    a shuffle join beyond. Of rows that repeat the same id and text, one stays.
+    Texts are linked by a Jaccard similarity of word shingles of ``similarity`` or more (see ``strata``), or, with ``bits``, by
+    fingerprints that differ in at most so many bits, as in ``simhash_groups``. Null ids come last, null text counts as empty and
+    all texts without words are one group. Only ids of rows that go meet ``docs`` again. Of rows that repeat the same id and
+    text the one stays whose other columns hash least, so reruns agree. Empty in, empty out; column names are free.
     """
-    rows, ids = _components(docs, id_col, text_col, words, bits)
-    return keep_first(docs, rows.join(ids.select("fp", "label"), "fp"), id_col, text_col)
+    texts = _texts(docs, id_col, text_col)
+    if bits is None:
+        return keep_first(docs, similar_labels(texts, words, similarity), id_col, text_col)
+    rows, ids = _components(texts, words, bits)
+    return keep_first(docs, attach(rows, ids, ["fp"]).select("i", "h", F.coalesce("label", "fp").alias("label")), id_col, text_col)
 
 
 def keep_first(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the first row of each label; ``labelled``: label, doc_id and text hash h of every row."""
-    pairs = labelled.groupBy("label", "doc_id", "h").agg(F.count("*").alias("n"))
-    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("h").alias("h"))
-    first = pairs.groupBy("label").agg(F.min(order).alias("first"))
-    judged = pairs.join(first, "label").select(F.col("doc_id").alias("__i"), F.col("h").alias("__h"), "n", (order == F.col("first")).alias("stays"))
-    moved = stage(judged.where("not stays or n > 1").groupBy("__i", "__h").agg(F.max("stays").alias("stays")), "simhash-moved")
-    total = moved.count()
-    small = F.broadcast(moved) if total <= BROADCAST_ROWS else moved
-    own = docs.withColumn("__own", text_hash(text_col))
-    on = F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__own") == F.col("__h"))
-    alone = own.join(small, on, "left_anti").select(*docs.columns)
-    repeated = own.join(small.where("stays"), on, "left_semi").dropDuplicates([id_col, "__own"]).select(*docs.columns)
-    return alone.unionByName(repeated)
+    """``docs`` with the first row of each label; ``labelled``: label, id i and text hash h of every row.
+
+    Rows are aggregated before they meet, by (label, i, h) and by label; no join is on the label.
+    """
+    pairs = stage(labelled.groupBy("i", "h", "label").agg(F.count("*").alias("n")), "first-pairs")
+    order = F.struct(F.col("i").isNull().alias("z"), F.col("i").alias("i"), F.col("h").alias("h"))
+    first = pairs.groupBy("label").agg(F.min(order).alias("f")).select(F.col("f.i").alias("fi"), F.col("f.h").alias("fh")).distinct()
+    judged = pairs.join(first, F.col("i").eqNullSafe(F.col("fi")) & (F.col("h") == F.col("fh")), "left")
+    stays = F.col("fh").isNotNull()
+    moved = stage(judged.where(~stays | (F.col("n") > 1)).groupBy("i", "h").agg(F.max(stays).alias("stays"), F.sum("n").alias("n_rows")), "first-moved")
+    rows, names = masked(docs)
+    i, text = (F.col(names[c]) for c in (id_col, text_col))
+    # a null id joins by a flag beside a null-free stand-in, so that the joins stay equi-joins on plain columns
+    keyed = rows.withColumns({"k_null": i.isNull(), "k_h": text_hash(text), "k_i": F.coalesce(F.xxhash64(i), F.lit(0))})
+    small = moved.select(F.col("i").isNull().alias("k_null"), F.col("h").alias("k_h"), F.coalesce(F.xxhash64("i"), F.lit(0)).alias("k_i"), "stays", "n_rows")
+    small = stage(small.groupBy("k_null", "k_h", "k_i").agg(F.max("stays").alias("stays"), F.sum("n_rows").alias("n_rows")), "first-moved")
+    met = attach(keyed, small, ["k_null", "k_h", "k_i"])
+    alone = unmasked(met.where("stays is null"), docs)
+    repeated = met.where("stays").groupBy("k_null", "k_h", "k_i").agg(F.min_by(F.struct(*names.values()), F.xxhash64(*names.values())).alias("r")).select("r.*")
+    return alone.unionByName(unmasked(repeated, docs))

@@ -1,7 +1,11 @@
 import random
 from itertools import combinations
 
-from palimpsest.llm import near_dedup as N
+import numpy as np
+from pyspark.sql import functions as F
+
+from palimpsest.llm import simhash as S
+from palimpsest.llm import strata as N
 
 
 def brute_kept(rows):
@@ -40,7 +44,7 @@ def test_changed_words_against_brute_force(spark):
     rows += [(len(rows) + k, changed(centre, rng, 1 + k % 5)) for k in range(60)]
     rows += [(900, ""), (901, "one two"), (902, "one two three")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id for r in N.near_dedup(df).collect()} == brute_kept(rows)
+    assert {r.doc_id for r in S.simhash_dedup(df).collect()} == brute_kept(rows)
 
 
 def test_stage_links_changed_words(spark):
@@ -54,3 +58,60 @@ def test_stage_links_changed_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == brute_kept(rows) == set(range(0, 40, 2))
+
+
+def test_similar_sets_share_a_key():
+    """Sets of up to 128 shingles share one for certain, also at the edge of the similarity."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 4, 5, 9, 10, 36, 40, 80, 128):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = next(g for g in range(n, -1, -1) if (n - g) / (n + g) >= 0.8 or not g)  # as many changed as may be
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone).astype(np.uint64)]))
+            fewer = a[: max(int(np.ceil(0.8 * n)), 1)]
+            ka, kb, kc = N.strata_keys([a, b, fewer])
+            assert N.jaccard(a, b) >= 0.8 and set(ka) & set(kb) and set(ka) & set(kc)
+
+
+def test_long_sets_share_keys_and_strangers_none():
+    rng = np.random.default_rng(3)
+    missed, strange = 0, 0
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
+        b = np.unique(np.concatenate([a[222:], rng.integers(0, 1 << 63, 222).astype(np.uint64)]))
+        ka, kb, kc = N.strata_keys([a, b, rng.integers(0, 1 << 63, 2000).astype(np.uint64)])
+        missed += not set(ka) & set(kb)
+        strange += bool(set(ka) & set(kc))
+    assert missed == strange == 0
+
+
+def test_long_runs_of_many_groups(spark):
+    """One opening makes thousands of candidates of one key; only what is similar as a whole is linked."""
+    rng = random.Random(6)
+    opening = [f"o{i}" for i in range(30)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}w{rng.randrange(9999)}" for _ in range(25)]
+        rows += [(10 * g + k, " ".join(opening + own[:-1] + [f"z{k}"])) for k in range(3)]
+    near = [f"n{rng.randrange(500)}" for _ in range(400)]
+    rows += [(1000 + k, changed(near, rng, 2)) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id for r in S.simhash_dedup(df).collect()} == brute_kept(rows)
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (None, None, None), (None, "", "q")], "doc_id long, text string, in_0 string")
+    first = sorted(map(tuple, S.simhash_dedup(df).collect()), key=repr)
+    assert len(first) == 2 and first == sorted(map(tuple, S.simhash_dedup(df.repartition(3, F.rand(4))).collect()), key=repr)
+
+
+def test_hot_classes_are_split_beyond_the_broadcast_limit(spark, monkeypatch):
+    from palimpsest.llm import joins
+
+    rows = [(i, "same words in every text of this group") for i in range(60)] + [(100 + i, f"other text {i} of its own {i}") for i in range(30)] + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, map(tuple, S.simhash_groups(df).collect()))), sorted(map(repr, map(tuple, S.simhash_dedup(df).collect())))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    got = sorted(map(repr, map(tuple, S.simhash_groups(df).collect()))), sorted(map(repr, map(tuple, S.simhash_dedup(df).collect())))
+    assert got == want

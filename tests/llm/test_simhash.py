@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import simhash as S
+from palimpsest.llm.golay import golay_tables
 
 
 def brute_fingerprint(t):
@@ -44,7 +45,7 @@ def test_fingerprint(text):
 def test_code_is_perfect_and_keys_are_complete():
     rng = np.random.default_rng(1)
     v = rng.integers(0, 1 << 23, 200).astype(np.int32)
-    low, high, errors = S.golay_tables()
+    low, high, errors = golay_tables()
     words = v ^ errors[low[v & 4095] ^ high[v >> 12]]
     assert (low[words & 4095] ^ high[words >> 12] == 0).all() and (np.bitwise_count(words ^ v) <= 3).all()
     for bits in (23, 18):
@@ -121,7 +122,7 @@ def test_groups_and_dedup(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = sorted(map(repr, ((d, f"{brute_fingerprint(t):016x}", c) for (d, t), c in zip(rows, brute_components([(d, brute_fingerprint(t)) for d, t in rows]), strict=True))))
     assert sorted(map(repr, map(tuple, S.simhash_groups(df).collect()))) == want
-    kept = S.simhash_dedup(df.withColumn("h", F.lit("clash")))
+    kept = S.simhash_dedup(df.withColumn("h", F.lit("clash")), words=4, bits=4)
     assert kept.columns == ["doc_id", "text", "h"]
     comps = [(c, brute_fingerprint(t)) for (d, t), c in zip(rows, brute_components([(d, brute_fingerprint(t)) for d, t in rows]), strict=True)]
     assert kept.count() == len({c if c is not None else ("null", f) for c, f in comps})
@@ -130,4 +131,4 @@ def test_groups_and_dedup(spark, rows):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert S.simhash_groups(df).count() == 0 and S.simhash_dedup(df).count() == 0
+    assert S.simhash_groups(df).count() == 0 and S.simhash_dedup(df).count() == 0 and S.simhash_dedup(df, bits=4).count() == 0
