@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from palimpsest.llm import exact_dedup, mixing, packing, simhash, toxicity
 from palimpsest.llm.queries import tokenizer_path
 from palimpsest.storage import stage
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest id."""
-    return near_dedup.near_dedup(docs)
+    return simhash.simhash_dedup(docs, words=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
