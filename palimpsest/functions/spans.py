@@ -5,7 +5,7 @@ A span is struct<s int, e int, ...> in code points, e exclusive, s from 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,22 +20,46 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: Folds that append go over so many elements at a time, as each step copies what it has.
+BLOCK = 512
+
+
+def in_blocks(xs: Column, total: Callable[[Column], Column], step: Callable[[Column, Column], Column], row: str) -> Column:
+    """A fold that appends to an array, in time proportional to its length: blocks of BLOCK, each from the running total before it.
+
+    ``total`` gives what an element adds to the running total, ``step`` the element put out, from the running total before it and the element.
+    """
+    empty = F.array().cast(f"array<{row}>")
+
+    def parts(xs: Column) -> Column:
+        block = lambda i: let(F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)), lambda part: F.struct(part.alias("part"), F.aggregate(part, F.lit(0), lambda acc, x: acc + total(x)).alias("n")))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), block)
+
+    def bases(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(blocks, start, lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def placed(part: Column, base: Column) -> Column:
+        start = F.struct(base.alias("at"), empty.alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + total(x)).alias("at"), F.array_append(acc["out"], step(acc["at"], x)).alias("out")))["out"]
+
+    done = lambda blocks: F.flatten(F.zip_with(blocks, bases(blocks), lambda x, base: placed(x["part"], base)))
+    return let(xs, lambda xs: F.when(F.size(xs) > 0, let(parts(xs), done)).otherwise(empty))
+
+
 def pattern_spans(t: Column, pattern: str, kind: str = "") -> Column:
     """array<struct<s, e, kind, raw>> of leftmost non-overlapping matches, from the lengths of matches and gaps."""
     t = _c(t)
     gaps = F.transform(F.split(t, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,kind:string,raw:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("raw"))).alias("out"))
+    def step(at: Column, x: Column) -> Column:
+        s = at + x["g"]
+        return F.struct(s.alias("s"), (s + x["n"]).alias("e"), F.lit(kind).alias("kind"), x["m"].alias("raw"))
 
-    def placed(found: Column) -> Column:
-        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-        return F.aggregate(pairs, start, step)["out"]
+    def pairs(found: Column) -> Column:
+        return F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), g.alias("g")))
 
-    return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), placed)
+    return in_blocks(let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), pairs), lambda x: x["g"] + x["n"], step, "struct<s:int,e:int,kind:string,raw:string>")
 
 
 def non_overlapping(spans: Column) -> Column:
