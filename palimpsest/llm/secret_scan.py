@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.storage import stage
+from palimpsest.functions.spans import pattern_spans
+from palimpsest.storage import discard, stage
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in the order in which spans of equal start are listed: pattern and least code points (of group 2 for assign).
 BASE = {"assign": (ASSIGN, 6), "access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
-#: Weak candidates count only beside a complementary part: an identifier without known prefix, a mixed blob, a service address.
+#: The same matches with the least length in the pattern.
+DIRECT = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+#: Weak candidates count only beside a complementary part: an identifier without known prefix, a mixed blob, a service address (scheme of at most 20 characters, so that a run of letters is scanned once).
 WEAK = {
     "ident": (r"[A-Z0-9]{16,}", 16),
     "blob": (r"[A-Za-z0-9+/_-]{32,}", 32),
-    "endpoint": (r"[a-z][a-z0-9+.-]*://[^\s\"'<>]+", 10),
+    "endpoint": (r"[a-z][a-z0-9+.-]{0,19}://[^\s\"'<>]+", 10),
 }
 KINDS = [*BASE, *WEAK]
 #: Parts of one credential lie at most so many code points apart.
@@ -28,32 +31,23 @@ def _mixed(found: Column) -> Column:
 def find_spans(text: Column, kind: str) -> Column:
     """Leftmost non-overlapping matches of a kind as array<struct<s, e>>, code points, end exclusive.
 
-    The text between matches and the matches alternate, so one running sum over both gives all positions.
+    The least length of access and hex stands in the pattern: a maximal run either has it or holds no match. A failing
+    assign match swallows its text, so it is dropped after matching. Texts without a match are scanned once.
     """
     pattern, least = (BASE | WEAK)[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(m).alias("n"), g.alias("g")))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    placed = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["g"] + p["n"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + p["g"]).alias("s"), (acc["at"] + p["g"] + p["n"]).alias("e"), p["m"].alias("m"))).alias("out"),
-        ),
-    )["out"]
+    pattern = DIRECT.get(kind, pattern)
+    placed = pattern_spans(text, pattern)
     if kind == "assign":
-        good = F.filter(placed, lambda x: F.length(F.regexp_extract(x["m"], pattern, 1)) >= least)
+        placed = F.filter(placed, lambda x: F.length(F.regexp_extract(x["raw"], pattern, 1)) >= least)
     elif kind == "ident":
-        good = F.filter(placed, lambda x: x["m"].rlike("[A-Z]") & x["m"].rlike("[0-9]") & ~x["m"].startswith("AKIA"))
+        placed = F.filter(placed, lambda x: x["raw"].rlike("[A-Z]") & x["raw"].rlike("[0-9]") & ~x["raw"].startswith("AKIA"))
     elif kind == "blob":
-        good = F.filter(placed, lambda x: _mixed(x["m"]))
-    else:
-        good = F.filter(placed, lambda x: F.length(x["m"]) >= least)
-    spans = F.transform(good, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    quick = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}.get(kind, pattern)
-    return F.when(text.rlike(quick), spans).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+        placed = F.filter(placed, lambda x: _mixed(x["raw"]))
+    elif kind == "endpoint":
+        placed = F.filter(placed, lambda x: x["e"] - x["s"] >= least)
+    spans = F.transform(placed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    some = text.contains("://") & text.rlike(pattern) if kind == "endpoint" else text.rlike(pattern)
+    return F.when(some, spans).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -80,6 +74,19 @@ def _parts(rows: DataFrame) -> DataFrame:
     return every.select("rid", roles[F.col("x.k")].alias("role"), "x.k", "x.s", "x.e")
 
 
+def _in_cells(parts: DataFrame, scope: int) -> DataFrame:
+    return parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / scope), F.floor((F.col("e") - 1) / scope))))
+
+
+def _uncovered(parts: DataFrame, scope: int) -> DataFrame:
+    """Base parts, and weak ones that lie in no base part; they meet by cells, so a text with many of both has no pairs of all."""
+    weak, base = parts.where(F.col("k") >= len(BASE)), parts.where(F.col("k") < len(BASE))
+    w, b = _in_cells(weak, scope).alias("w"), _in_cells(base, scope).alias("b")
+    meet = (F.col("w.rid") == F.col("b.rid")) & (F.col("w.cell") == F.col("b.cell")) & (F.col("b.s") < F.col("w.e")) & (F.col("w.s") < F.col("b.e"))
+    covered = w.join(b, meet, "left_semi").select("rid", "k", "s", "e").distinct()
+    return base.unionByName(weak.join(covered, ["rid", "k", "s", "e"], "left_anti").select(*base.columns))
+
+
 def linked_spans(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Weak candidates with a complementary part in scope: rid, k, s, e.
 
@@ -88,7 +95,9 @@ def linked_spans(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     secret. Parts never overlap candidates of which they are the same text. A cell holds few parts, as parts of
     one kind do not overlap, so no list of all pairs arises, however many parts a document has.
     """
-    parts = stage(_parts(rows), "secret-parts")
+    every = stage(_parts(rows), "secret-found")
+    parts = stage(_uncovered(every, scope), "secret-parts")
+    discard(every)
     weak = parts.where(F.col("k") >= len(BASE))
     cells = F.sequence(F.floor((F.col("s") - scope - 1) / scope), F.floor((F.col("e") + scope) / scope))
     a = weak.withColumn("cell", F.explode(cells)).alias("a")
@@ -104,16 +113,13 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Base kinds (assign, access, hex) are reported wherever they match. Weak candidates (ident, blob, endpoint) are
     reported only when complementary parts co-occur within ``scope`` code points; one that lies in a base span is not.
-    Null text counts as empty; each input row gives one output row, repeated rows and null ids too. Positions are
-    code points, ends exclusive. ``spans`` is an array of (s, k, e), k an index into KINDS.
+    Null text counts as empty; each input row gives one output row, repeated rows and null ids too; other columns don't
+    matter. Positions are code points, ends exclusive. ``spans`` is an array of (s, k, e), k an index into KINDS. Work and
+    memory grow with a text's length, also where a text of megabytes is nothing but matches.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    found = read.select("doc_id", F.monotonically_increasing_id().alias("rid"), *[find_spans(F.col("t"), k).alias(k) for k in KINDS])
-    strong = F.concat(*BASE)
-    for k in WEAK:
-        found = found.withColumn(k, F.when(F.size(k) > 0, F.filter(k, lambda x: ~F.exists(strong, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))).otherwise(F.col(k)))
-    rows = stage(found, "secret-rows")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    read = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("t"))
+    rows = stage(read.select("doc_id", F.monotonically_increasing_id().alias("rid"), *[find_spans(F.col("t"), k).alias(k) for k in KINDS]), "secret-rows")
     links = linked_spans(rows, scope).groupBy("rid").agg(F.collect_list(F.struct("s", "k", "e")).alias("linked"))
     base = F.concat(*[_of_kind(k) for k in BASE])
     return rows.join(links, "rid", "left").select("doc_id", *BASE, F.array_sort(F.when(F.col("linked").isNotNull(), F.concat(base, "linked")).otherwise(base)).alias("spans"), F.array_sort(base).alias("base"))
@@ -128,9 +134,6 @@ def secret_digests(found: DataFrame) -> DataFrame:
     )
 
 
-
-
-
 _POSITIONS = """
 list_transform(range(1, len({m}) + 1), lambda i: {{'s': list_sum(list_transform({g}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({m}[1:i-1], lambda x: length(x))), 0), 'm': {m}[i]}})
 """

@@ -72,3 +72,19 @@ def test_parts_exactly_in_scope_at_a_cell_edge(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in S.secret_digests(S.scan_secrets(df)).collect()}
     assert got == {i: brute(t)[1] for i, t in enumerate(texts)} and "ident:400:" in got[0] and "ident:" not in got[1]
+
+
+def test_megabytes_of_matches(spark):
+    """A text that is nothing but matches: two hundred times the blocks of the fold, in time that grows with its length."""
+    n = 100_000
+    text = "".join(f"{'deadbeef' * 3}{i % 10} " for i in range(n)) + "z" * 1_000_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = S.scan_secrets(df).select("hex").collect()
+    assert len(row.hex) == n and all((s, e) == (26 * i, 26 * i + 25) for i, (s, e) in enumerate(row.hex))
+
+
+def test_weak_parts_in_base_spans(spark):
+    """Many base spans and many weak candidates of one text meet by cells."""
+    text = " ".join(f"{'deadbeef' * 4} {BLOB}{i} https://host{i}.example/x" for i in range(300))
+    (row,) = S.secret_digests(S.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))).collect()
+    assert row.spans == brute(text)[1]
