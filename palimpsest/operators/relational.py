@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import let
+from palimpsest.storage import stage
 
 
 def _c(x: Column | str) -> Column:
@@ -18,11 +19,12 @@ def total_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column], wei
     """Running sum of ``weight`` within ``keys`` in ``order``, ``name`` including the row itself.
 
     Meant for rows already aggregated by value. Without keys the sum would pass through one task, so rows go to ranges of
-    the order first; each range sums its own and adds the totals of the ranges before it.
+    the order first; each range sums its own and adds the totals of the ranges before it. The ranges are written once, as
+    their bounds may come out differently when they are drawn again (by AQE, or after a lost executor).
     """
     if keys:
         return df.withColumn(name, F.sum(weight).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    parted = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parted = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     totals = parted.groupBy("__part").agg(F.sum(weight).alias("__sum"))
     base = totals.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     own = F.sum(weight).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
