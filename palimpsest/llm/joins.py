@@ -22,14 +22,15 @@ def unmasked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[f"in_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
-def attach(rows: DataFrame, classes: DataFrame, keys: list[str], *, how: str = "left", size: str = "n_rows", broadcast_rows: int | None = None) -> DataFrame:
+def attach(rows: DataFrame, classes: DataFrame, keys: list[str], *, how: str = "left", size: str = "n_rows", broadcast_rows: int | None = None, count: int | None = None) -> DataFrame:
     """Join ``rows`` with ``classes`` (one row per ``keys``, staged, ``size`` the rows of the class), without ``size``.
 
     Up to ``broadcast_rows`` classes are broadcast. Beyond that the hot ones, of which rows / HOT_ROWS bounds the number, are
-    broadcast and only rows of other classes are shuffled, so that no task gets all rows of a hot class.
+    broadcast and only rows of other classes are shuffled, so that no task gets all rows of a hot class. ``count``: the number
+    of classes, where it is known.
     """
     limit = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    if classes.limit(limit + 1).count() <= limit:
+    if (classes.limit(limit + 1).count() if count is None else count) <= limit:
         return rows.join(F.broadcast(classes.drop(size)), keys, how)
     hot, cold = classes.where(F.col(size) > HOT_ROWS).drop(size), classes.where(F.col(size) <= HOT_ROWS).drop(size)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)

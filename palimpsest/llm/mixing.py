@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.joins import attach, masked, unmasked
+from palimpsest.operators.relational import total_order
 from palimpsest.storage import discard, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Each row has a hash of LEVELS * LEVEL_BITS bits; each level refines one bucket per source into 2**LEVEL_BITS.
 LEVEL_BITS, LEVELS = 12, 4
+#: Sources up to this many are ranked in one task.
+ONE_TASK = 100_000
 ADDED = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -19,72 +23,90 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _bits(hexed: Column, bits: int) -> Column:
+    return F.conv(F.substring(hexed, 1, bits // 4), 16, 10).cast("long")
+
+
 def row_hash(id_col: Column, text: Column) -> Column:
-    """48 bits of the MD5 of ``id|text``; rows equal in both share it and so share their fate."""
-    key = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
+    """48 bits of the MD5 of ``id|text``; rows equal in both share it."""
+    return _bits(F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))), LEVEL_BITS * LEVELS)
+
+
+def source_key(source: Column) -> Column:
+    """A string without null: empty for a null source."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit(""))
+
+
+def _running(df: DataFrame, order: list[Column], weight: str, name: str, n: int) -> DataFrame:
+    """Running sum including the row itself; beyond ONE_TASK rows in ranges of the order."""
+    if n > ONE_TASK:
+        return total_order(df, [], order, weight, name)
+    return df.withColumn(name, F.sum(weight).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """Targets by water filling: ``least(cap * size, level * weight)`` with the one level that spends the budget.
 
-    ``sizes`` has a row (source, source_size) per source. Sorting sources by ``cap * size / weight`` gives the
+    ``sizes``, a staged table, has a row (key, source_size, ...) per source. Sorting sources by ``cap * size / weight`` gives the
     level in one pass: with the first sources full, the rest share what is left; this quotient rises while the next
     source would be full as well and falls after, so the level is its maximum. This equals sharing by weight,
     cutting at the cap and sharing the excess again until no source is above its cap.
     """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).first()
+    ranked = _running(sizes.withColumn("one", F.lit(1).cast("long")), [F.col("key") == "", F.col("key")], "one", "place", n)
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))
     ranked = ranked.withColumn("w", w).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("most") / F.col("w"), "rank")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    spent = ranked.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything)).withColumn(
-        "level", (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    )
-    filled = F.least(F.col("most"), F.max("level").over(everything) * F.col("w"))
-    return spent.select("source", "source_size", filled.alias("target"))
+    by_ratio = [F.col("most") / F.col("w"), F.col("place")]
+    filled = _running(ranked, by_ratio, "most", "spent", n)
+    filled = stage(_running(filled, by_ratio, "w", "used", n), "mix-filled")
+    all_w = F.lit(float(filled.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]))
+    level = filled.agg(F.max((F.lit(float(share)) * F.lit(int(total)) - (F.col("spent") - F.col("most"))) / (all_w - F.col("used") + F.col("w")))).first()[0]
+    target = F.least(F.col("most"), F.lit(float(level or 0)) * F.col("w"))
+    return filled.select(*sizes.columns, target.alias("target"))
 
 
-def _thresholds(slim: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """Per source: whole copies of every row, and the hash below which a row is taken once more."""
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    target = source_targets(sizes, weights, share, cap)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = stage(
-        target.withColumn("whole", whole).withColumn("prefix", F.lit(0).cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("mass", F.lit(0).cast("long")),
-        "mix-state",
-    )
+def _refined(slim: DataFrame, state: DataFrame) -> DataFrame:
+    """The cell of one hash value in which each source's ``rest`` runs out: prefix, its words (mass) and rows (n), rest before it.
+
+    ``slim``: key, size and hash h. One level per LEVEL_BITS bits; only the boundary bucket of a source goes on.
+    """
+    state = state.withColumns({"prefix": F.lit(0).cast("long"), "mass": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
+    sources = state.count()
     for level in range(1, LEVELS + 1):
         above, below = LEVEL_BITS * (LEVELS - level + 1), LEVEL_BITS * (LEVELS - level)
-        s = state.alias("s")
-        inside = slim.alias("d").join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.shiftright("d.h", above) == F.col("s.prefix")))
-        cells = inside.groupBy("d.source", F.shiftright("d.h", below).alias("cell")).agg(F.sum("d.size").alias("cell_mass"), F.first("s.rest").alias("left"))
-        upto = F.sum("cell_mass").over(Window.partitionBy("source").orderBy("cell"))
+        inside = attach(slim, state.select("key", "prefix", "rest", "n_rows"), ["key"], how="inner", count=sources).where(F.shiftright("h", above) == F.col("prefix"))
+        cells = inside.groupBy("key", F.shiftright("h", below).alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("rest").alias("left"))
+        upto = F.sum("words").over(Window.partitionBy("key").orderBy("cell"))
         crossing = cells.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
-        edge = crossing.groupBy("source").agg(F.min_by(F.struct("cell", "cell_mass", "upto"), "cell").alias("e")).alias("c")
+        edge = crossing.groupBy("key").agg(F.min_by(F.struct("cell", "words", "rows", "upto"), "cell").alias("e"))
+        kept = [c for c in state.columns if c not in ("prefix", "rest", "mass", "n")]
         refined = stage(
-            s.join(edge, F.col("s.source").eqNullSafe(F.col("c.source")), "left").select(
-                *[F.col(f"s.{c}") for c in ("source", "source_size", "target", "whole")],
-                F.coalesce("c.e.cell", F.shiftleft("s.prefix", LEVEL_BITS)).alias("prefix"),
-                F.coalesce(F.col("s.rest") - (F.col("c.e.upto") - F.col("c.e.cell_mass")), "s.rest").alias("rest"),
-                F.coalesce("c.e.cell_mass", F.lit(0).cast("long")).alias("mass"),
+            state.join(edge, "key", "left").select(
+                *kept,
+                F.coalesce("e.cell", F.shiftleft("prefix", LEVEL_BITS)).alias("prefix"),
+                F.coalesce(F.col("rest") - (F.col("e.upto") - F.col("e.words")), "rest").alias("rest"),
+                F.coalesce("e.words", F.lit(0).cast("long")).alias("mass"),
+                F.coalesce("e.rows", F.lit(0).cast("long")).alias("n"),
             ),
             "mix-state",
         )
         discard(state)
         state = refined
-    closer = (F.col("mass") > 0) & (2 * F.col("rest") >= F.col("mass"))
-    return state.select("source", "source_size", "target", "whole", (F.col("prefix") + closer.cast("long")).alias("cut"))
+    return state
 
 
-def _applied(rows: DataFrame, cuts: DataFrame, keep: list[str]) -> DataFrame:
-    m = cuts.alias("m")
-    copies = F.col("m.whole") + (F.col("r.__h") < F.col("m.cut")).cast("long")
-    return rows.alias("r").join(m, F.col("r.__source").eqNullSafe(F.col("m.source"))).select(
-        *[F.col(f"r.`{c}`") for c in keep if c not in ADDED],
-        F.col("r.__size").alias("size"), "m.source_size", "m.target", copies.alias("copies"), (copies * F.col("r.__size")).alias("taken"),
-    )
+def _thresholds(slim: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """Per source: whole copies of every row, and the cell in which the rest of its target runs out."""
+    sizes = stage(slim.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "mix-sizes")
+    target = source_targets(sizes, weights, share, cap)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    state = target.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    return _refined(slim, stage(state, "mix-state"))
+
+
+def _closer(mass: Column, rest: Column) -> Column:
+    """Taking a last row of ``mass`` words comes nearer to the target than leaving it."""
+    return (mass > 0) & (2 * rest >= mass)
 
 
 def mix_sources(
@@ -96,23 +118,49 @@ def mix_sources(
     is above ``cap`` times its source's words, what is above goes to the others by weight. A source takes
     ``floor(target / size)`` copies of all its rows; the remaining budget goes to the rows whose 48-bit hash lies
     below a threshold, found from sums of words by (source, hash bucket) with only the bucket on the boundary
-    refined further. Rows are never sorted; the result is the same in each run.
+    refined further. Rows are never sorted. Rows equal in id and text share their hash; where several of them make up
+    the boundary, they are refined in the same way by a hash of all their columns and their place in a written table, so a
+    source misses its target by half a row at most, however often rows repeat, and reruns differ at most in which of rows equal in all columns is taken.
 
     Returns ``docs`` with size, source_size, target, copies and taken (= copies * size); columns of these names
     are replaced. With ``carry``, only those columns are returned and the text is read once. Null text counts as
-    empty (size 0); null ids and null sources are ordinary values; rows equal in id and text are taken or left
-    together; a source without words has target 0; an empty table gives an empty table.
+    empty (size 0); null ids and null sources are ordinary values; a source without words has target 0; an empty table
+    gives an empty table. A source of any share of the rows is met by broadcast or split (``attach``).
     """
-    rows = docs.withColumns({"__source": F.col(source_col), "__size": word_count(F.col(text_col)), "__h": row_hash(F.col(id_col), F.col(text_col))})
+    kept = list(carry) if carry is not None else docs.columns
+    rows, names = masked(docs)
+    own = {"key": source_key(F.col(names[source_col])), "size": word_count(F.col(names[text_col])), "h": row_hash(F.col(names[id_col]), F.col(names[text_col]))}
+    rows = rows.select(*[names[c] for c in kept], *[v.alias(k) for k, v in own.items()])
     if carry is not None:
-        rows = stage(rows.select(*[F.col(f"`{c}`") for c in carry], "__source", "__size", "__h"), "mix-rows")
-    slim = rows.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__h").alias("h"))
-    slim = slim if carry is not None else stage(slim, "mix-slim")
-    return _applied(rows, _thresholds(slim, weights, share, cap), list(carry) if carry is not None else docs.columns)
+        rows = stage(rows, "mix-rows")
+        slim = rows.select(*own)
+    else:
+        slim = stage(rows.select(*own), "mix-slim")
+    cuts = _thresholds(slim, weights, share, cap)
+    facts = ["key", "source_size", "target", "whole", "n_rows"]
+    cuts = stage(cuts.select(*facts, "rest", "n", "prefix", (F.col("prefix") + ((F.col("n") == 1) & _closer(F.col("mass"), F.col("rest"))).cast("long")).alias("cut")), "mix-cuts")
+    met = attach(rows, cuts, ["key"], how="inner")
+    many = (F.col("n") > 1) & (F.col("h") == F.col("prefix"))
+    out = met.where(~many).withColumn("more", (F.col("h") < F.col("cut")).cast("long"))
+    if cuts.where("n > 1").limit(1).count():
+        edge = stage(met.where(many).drop("n", "prefix", "cut", "h", "rest"), "mix-edge")
+        content = F.shiftright(F.xxhash64(*[names[c] for c in kept]), 40).bitwiseAND(F.lit((1 << 24) - 1))
+        place = F.shiftright(F.xxhash64(F.monotonically_increasing_id()), 40).bitwiseAND(F.lit((1 << 24) - 1))
+        edge = stage(edge.withColumn("h", F.shiftleft(content, 24).bitwiseOR(place)), "mix-edge")
+        last = _refined(edge.select("key", "size", "h"), stage(cuts.where("n > 1").select("key", "n_rows", "rest"), "mix-state"))
+        last = stage(last.select("key", "n_rows", (F.col("prefix") + _closer(F.col("mass"), F.col("rest")).cast("long")).alias("cut")), "mix-cuts")
+        more = attach(edge, last, ["key"], how="inner").withColumn("more", (F.col("h") < F.col("cut")).cast("long"))
+        shown = [*[names[c] for c in kept], "size", "source_size", "target", "whole", "more"]
+        out = out.select(*shown).unionByName(more.select(*shown))
+    copies = F.col("whole") + F.col("more")
+    return out.select(
+        *[F.col(names[c]).alias(c) for c in kept if c not in ADDED], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix_sources`` takes it, with the columns of ``docs``."""
-    clash = {c: f"__in_{c}" for c in docs.columns if c in ADDED}
-    taken = mix_sources(docs.withColumnsRenamed(clash), **options)
-    return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
+    rows, names = masked(docs)
+    cols = {f"{k}_col": names[options.pop(f"{k}_col", d)] for k, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    taken = mix_sources(rows, **cols, **options)
+    return unmasked(taken.select("*", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("again")), docs)

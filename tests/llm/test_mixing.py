@@ -66,3 +66,25 @@ def test_clashing_columns_and_empty(spark, docs):
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     only = mixing.mix_sources(spark.createDataFrame([(1, None, None), (2, "", "a")], SCHEMA)).collect()
     assert [(r.target, r.taken) for r in only] == [(0.0, 0), (0.0, 0)]
+
+
+@pytest.mark.parametrize("words", ["one", "two words", "a b c d e"])
+def test_targets_where_rows_repeat(spark, words):
+    """Half of a source is one row, a hundred times; the boundary may fall among its copies."""
+    n = len(words.split())
+    rows = [(1, words, "a")] * 100 + [(10 + i, "x " * n, "a") for i in range(100)]
+    took = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).agg(F.sum("taken"), F.first("target")).first()
+    assert abs(took[0] - took[1]) <= n
+    apart = spark.createDataFrame([(1, words, "a", i) for i in range(200)], SCHEMA + ", in_3 long")
+    first = sorted(map(tuple, mixing.mix_sources(apart).select("in_3", "taken").collect()))
+    assert first == sorted(map(tuple, mixing.mix_sources(apart.repartition(5)).select("in_3", "taken").collect())) and sum(t for _, t in first) == 300 * n
+
+
+def test_many_sources_and_split_sources(spark, docs, monkeypatch):
+    from palimpsest.llm import joins
+
+    want = sorted(map(repr, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(mixing, "ONE_TASK", 0)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 500)
+    assert sorted(map(repr, mixing.mix_sources(docs).collect())) == want
