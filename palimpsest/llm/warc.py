@@ -11,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.storage import stage
+from palimpsest.llm.joins import attach, masked
+from palimpsest.storage import fresh_path, stage
 
-MAGIC = "WARC/1.1\r\n"
+#: Every record starts so, with a minor version behind it; archives are cut here.
+MAGIC = "WARC/1."
+VERSIONS = (b"0\r\n", b"1\r\n")
 #: Repeated payloads are broadcast up to this many (about 50 bytes each), else joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Least and most bytes of the ranges in which archives are read; between them a file has RANGES of them.
+LEAST_RANGE, MOST_RANGE, RANGES = 1 << 16, 1 << 26, 8
 #: Parts of records with the magic inside meet their records by cells of so many bytes.
 CELL = 1 << 20
 
@@ -26,43 +31,43 @@ def base32(hexed: Column) -> Column:
     return F.translate(F.upper(digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def record_roles(pages: DataFrame, *, id_col: str, payload: Column, least_bytes: int) -> DataFrame:
-    """``pages`` with __payload, __refers (null for a response) and __bytes.
+def record_roles(rows: DataFrame, *, own: str, payload: Column, least_bytes: int) -> DataFrame:
+    """``rows`` (of columns in_0, in_1, ...) with payload, bytes, and refers (null for a response).
 
     Of records with equal payloads (SHA-256) of at least ``least_bytes`` bytes, the one with the largest id is the
-    response. Only payloads that repeat meet the pages again.
+    response. Only payloads that repeat meet the rows again, and a payload of any share of the rows is split.
     """
-    rows = pages.withColumn("__payload", F.coalesce(payload, F.lit(""))).withColumn("__bytes", F.octet_length("__payload").cast("long"))
-    rows = rows.withColumn("__key", F.unhex(F.sha2("__payload", 256)))
-    groups = rows.where(F.col("__bytes") >= least_bytes).groupBy("__key").agg(F.count("*").alias("n"), F.max(F.col(f"`{id_col}`")).alias("__largest"))
-    repeated = stage(groups.where("n > 1").select(F.col("__key").alias("__same"), "__largest"), "warc-repeated")
-    n = repeated.count()
-    joined = rows.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, F.col("__key") == F.col("__same"), "left")
-    own = F.col(f"`{id_col}`")
-    return joined.withColumn("__refers", F.when(~own.eqNullSafe(F.col("__largest")), F.col("__largest")))
+    rows = rows.withColumn("payload", F.coalesce(payload, F.lit(""))).withColumn("bytes", F.octet_length("payload").cast("long"))
+    rows = rows.withColumn("same", F.unhex(F.sha2("payload", 256)))
+    groups = rows.where(F.col("bytes") >= least_bytes).groupBy("same").agg(F.count("*").alias("n_rows"), F.max(own).alias("largest"))
+    repeated = stage(groups.where("n_rows > 1"), "warc-repeated")
+    joined = attach(rows, repeated, ["same"], broadcast_rows=BROADCAST_ROWS)
+    return joined.withColumn("refers", F.when(~F.col(own).eqNullSafe(F.col("largest")), F.col("largest")))
 
 
-def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip", **options) -> None:
+def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", compression: str = "none", **options) -> None:
     """Write one response or revisit record per row to archives in the folder ``path``, one per task, by Spark's text writer.
 
     Payloads are the column's UTF-8 bytes; null is empty. A null id gives an empty id, a null url no target. Rows that
-    share the largest id and the payload are all responses. ``options`` go to the writer (e.g. maxRecordsPerFile).
+    share the largest id and the payload are all responses; other columns don't matter. Archives are plain, so that they can be
+    read in ranges; ``compression`` may be any that Spark's text writer has. ``options`` go to the writer (e.g. maxRecordsPerFile).
     """
-    rows = record_roles(pages, id_col=id_col, payload=F.col(f"`{payload_col}`"), least_bytes=least_bytes)
+    masked_pages, names = masked(pages)
+    rows = record_roles(masked_pages, own=names[id_col], payload=F.col(names[payload_col]), least_bytes=least_bytes)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
-    revisit = F.col("__refers").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("__bytes").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, http).otherwise(F.concat(http, "__payload"))
-    url = F.regexp_replace(F.col(f"`{url_col}`"), r"[\r\n]+", " ")
+    revisit = F.col("refers").isNotNull()
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
+    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+    url = F.regexp_replace(F.col(names[url_col]), r"[\r\n]+", " ")
     header = F.concat(
-        F.lit(MAGIC),
+        F.lit(MAGIC + "1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", name(F.col(f"`{id_col}`"))),
+        line("WARC-Record-ID", name(F.col(names[id_col]))),
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.sha1("__payload")))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("__refers"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.sha1("payload")))),
+        F.when(revisit, F.concat(line("WARC-Refers-To", name(F.col("refers"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
@@ -76,6 +81,8 @@ _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 def parse_record(chunk: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
     """Fields of what follows the magic, where its block begins and the block's length; None if it is no record's head."""
+    if not chunk.startswith(VERSIONS):
+        return None
     end = chunk.find(b"\r\n\r\n")
     if end < 0:
         return None
@@ -179,8 +186,39 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from told(last, rows, total)
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+class _Ranges:
+    """Archives read in ranges of so many bytes, whatever the session's own split size is.
+
+    A session of its own holds the split size. What it reads goes to the shared folder and comes back to the caller's session.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, range_bytes: int | None) -> None:
+        self.spark, self.path, self.own = spark, path, spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if self.own.conf.isModifiable(key):
+                self.own.conf.set(key, value)
+        size = range_bytes or min(max(self._longest() // RANGES, LEAST_RANGE), MOST_RANGE)
+        for key, value in (("maxPartitionBytes", size), ("openCostInBytes", 1), ("minPartitionNum", 1)):
+            self.own.conf.set(f"spark.sql.files.{key}", str(value))
+
+    def _longest(self) -> int:
+        """Bytes of the longest file, from the listing that Spark's reader makes."""
+        listed = self.spark.read.format("binaryFile").load(self.path).agg(F.max("length")).first()
+        return listed[0] or 0
+
+    def archives(self) -> DataFrame:
+        return self.own.read.option("lineSep", MAGIC).text(self.path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def here(self, df: DataFrame, name: str) -> DataFrame:
+        """A written copy of a table of the caller's session, read in this one."""
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        return self.own.read.schema(df.schema).parquet(path)
 
 
 def _reached(candidates: DataFrame, longest: int) -> DataFrame:
@@ -197,18 +235,20 @@ def _reached(candidates: DataFrame, longest: int) -> DataFrame:
     return reached
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, *, range_bytes: int | None = None) -> DataFrame:
     """The records of all archives below ``path``: file, offset, type, id, refers, url, digest, bytes, intact.
 
-    Archives are split at the magic, wherever it stands; each task emits its candidate records with their successors'
-    offsets (in the uncompressed stream) and follows chains inside its split. Prefix sums of the splits' bytes give
-    absolute offsets. Pointer jumping from offset 0 across splits (logarithmic in a file's splits) finds the one
-    true entry into each split; only records on the chain from it stay, so magic inside a payload is never a record.
-    A record in several pieces is put together from them in a second read. ``digest`` and ``bytes`` of a response are
-    those of the payload as read, ``intact`` whether the digest agrees with the header; of a revisit as stated.
-    A chain that breaks (cut or damaged file) ends there. Plain and compressed archives are read; only plain ones split.
+    Archives are read in ranges (``range_bytes``; by default RANGES of the longest file, LEAST_RANGE to MOST_RANGE bytes) and cut at the magic, wherever it
+    stands; each range emits its candidate records with their successors' offsets (in the uncompressed stream) and follows
+    chains inside itself. Prefix sums of the ranges' bytes give absolute offsets. Pointer jumping from offset 0 across ranges
+    (logarithmic in a file's ranges) finds the one true entry into each range; only records on the chain from it stay, so magic
+    inside a payload is never a record. A record in several pieces is put together from them in a second read. ``digest``
+    and ``bytes`` of a response are those of the payload as read, ``intact`` whether the digest agrees with the header; of a
+    revisit as stated. Versions 1.0 and 1.1 are read. A file that doesn't start with a record raises ValueError; a chain that
+    breaks later (cut or damaged file) ends there. Plain and compressed archives are read; a gzip file is one range.
     """
-    found = stage(_archives(spark, path).mapInArrow(_candidates, f"file string, split long, total long, at long, after long, in long, out long, exit long, {RECORD}"), "warc-candidates")
+    ranges = _Ranges(spark, path, range_bytes)
+    found = ranges.staged(ranges.archives().mapInArrow(_candidates, f"file string, split long, total long, at long, after long, in long, out long, exit long, {RECORD}"), "warc-candidates")
     order = Window.partitionBy("file").orderBy("split")
     totals = found.where("total is not null").select("file", "split", "total")
     base = stage(totals.select("file", "split", F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "warc-splits")
@@ -216,6 +256,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     shifted = found.where("total is null").join(base, ["file", "split"])
     candidates = shifted.withColumns({"offset": F.col("at") + F.col("base"), "after": F.col("after") + F.col("base"), "exit": F.col("exit") + F.col("base")})
     candidates = stage(candidates.drop("total", "at", "base"), "warc-offsets")
+    strange = base.select("file").distinct().join(candidates.where("offset = 0").select("file"), "file", "left_anti").first()
+    if strange:
+        raise ValueError(f"{strange['file']} doesn't start with a record of a known version")
     entries = candidates.join(_reached(candidates, longest), ["file", "offset"], "left_semi").select("file", "split", F.col("in").alias("entry"))
     true = stage(candidates.join(entries, ["file", "split"]).where("in <= entry and entry < out").drop("entry"), "warc-records")
     whole = true.where("digest is not null")
@@ -223,19 +266,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     parted = true.where("digest is null")
     if not parted.limit(1).count():
         return whole.select(*fields)
-    return whole.select(*fields).unionByName(_put_together(spark, path, base, parted).select(*fields))
+    return whole.select(*fields).unionByName(_put_together(ranges, base, parted).select(*fields))
 
 
-def _put_together(spark: SparkSession, path: str, base: DataFrame, parted: DataFrame) -> DataFrame:
+def _put_together(ranges: _Ranges, base: DataFrame, parted: DataFrame) -> DataFrame:
     """Records that hold the magic: their chunks from a second read, joined by byte ranges in cells."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, split, at, chunk in _chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([split]), pa.array([at]), pa.array([chunk], pa.binary())], names=["file", "split", "at", "chunk"])
 
-    chunks = _archives(spark, path).mapInArrow(placed, "file string, split long, at long, chunk binary").join(base, ["file", "split"])
+    chunks = ranges.archives().mapInArrow(placed, "file string, split long, at long, chunk binary").join(ranges.here(base, "warc-splits"), ["file", "split"])
     chunks = chunks.select("file", (F.col("at") + F.col("base") - len(MAGIC)).alias("begin"), "chunk").withColumn("cell", F.floor(F.col("begin") / CELL))
-    spans = parted.select("file", "offset", "after").withColumn("cell", F.explode(F.sequence(F.floor(F.col("offset") / CELL), F.floor((F.col("after") - 1) / CELL))))
+    spans = ranges.here(parted.select("file", "offset", "after"), "warc-parted").withColumn("cell", F.explode(F.sequence(F.floor(F.col("offset") / CELL), F.floor((F.col("after") - 1) / CELL))))
     inside = chunks.join(spans, ["file", "cell"]).where("begin >= offset and begin < after")
     rows = inside.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("begin", "chunk"))).alias("parts"))
 
@@ -248,4 +291,4 @@ def _put_together(spark: SparkSession, path: str, base: DataFrame, parted: DataF
                 out.append(_record(fields, whole[begin : begin + length]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[k] for r in out], t) for k, t in _TYPES.items())], names=["file", "offset", *_TYPES])
 
-    return rows.select("file", "offset", "parts").mapInArrow(joined, f"file string, offset long, {RECORD}")
+    return ranges.staged(rows.select("file", "offset", "parts").mapInArrow(joined, f"file string, offset long, {RECORD}"), "warc-joined")

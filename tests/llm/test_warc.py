@@ -49,15 +49,40 @@ def test_files_split_anywhere(spark):
     path = fresh_path(spark, "warc-test")
     W.write_warc(pages, path, compression="none")
     want = brute([tuple(r) for r in pages.collect()])
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
-    try:
-        for size in ("2003", "20011"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            spark.conf.set("spark.sql.files.openCostInBytes", "1")
-            assert read(spark, path) == want
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
-        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for size in (2003, 20011):
+        r = W.read_warc(spark, path, range_bytes=size)
+        assert sorted(map(repr, map(tuple, r.select(F.col("id").cast("long"), "bytes", "digest", "type", F.col("refers").cast("long")).collect()))) == want
+
+
+def test_the_query_jumps(spark, monkeypatch):
+    """The registered query's own archives have several ranges a file, and pointer jumping finds the entries of all but the first."""
+    from palimpsest.llm import queries
+
+    seen, reached = [], W._reached
+    monkeypatch.setattr(W, "_reached", lambda candidates, longest: seen.append((longest, out := reached(candidates, longest))) or out)
+    data = "/root/testdata/sf0.01"
+    rows = queries.op7_warc(spark, data)
+    assert rows.count() == spark.read.parquet(f"{data}/pages.parquet").count()
+    (longest, entries), = seen
+    assert longest >= 4 and entries.groupBy("file").count().agg(F.max("count")).first()[0] >= 4
+
+
+def _archive(tmp_path, name, *versions, head=b""):
+    out = head
+    for i, version in enumerate(versions):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+        digest = base64.b32encode(hashlib.sha1(b"abc").digest())
+        out += b"WARC/" + version + b"\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\n" % (i, digest, len(block)) + block + b"\r\n\r\n"
+    (tmp_path / name).write_bytes(out)
+    return str(tmp_path)
+
+
+def test_versions_and_strange_files(spark, tmp_path):
+    r = W.read_warc(spark, _archive(tmp_path, "a.warc", b"1.0", b"1.1", b"1.0")).collect()
+    assert sorted((x.id, x.bytes, x.intact) for x in r) == [("0", 3, True), ("1", 3, True), ("2", 3, True)]
+    _archive(tmp_path, "b.warc", b"1.0", head=b"junk")
+    with pytest.raises(ValueError, match="b.warc"):
+        W.read_warc(spark, str(tmp_path))
 
 
 def test_threshold_and_empty(spark):
