@@ -67,8 +67,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +130,10 @@ select page_id, n as payload_bytes,
 from h
 """,
     "op8_topk_search": """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+with v as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+s as (select q.rid, q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score from v q join v on q.rid <> v.rid where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id) as n from s)
 select query_id, n::int as rank, vec_id, score from r where n <= 5
 """,
     "op9_exact_dedup": """
