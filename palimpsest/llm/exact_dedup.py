@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.joins import attach, masked, unmasked
 from palimpsest.storage import stage
 
-#: Hashes of repeated contents are broadcast up to this many (about 60 bytes each); beyond it they are joined by shuffle.
+#: Hashes of repeated contents are broadcast up to this many (about 60 bytes each).
 BROADCAST_ROWS = 500_000
+#: More of them are broadcast in so many ranges of the hash at most, one scan each; beyond that texts are shuffled once.
+RANGES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -20,34 +25,39 @@ def content_hash(norm: Column, bits: int) -> Column:
     return F.unhex(F.substring(F.md5(norm), 1, bits // 4))
 
 
-def _sized(small: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(small) if rows <= BROADCAST_ROWS else small
+def _classes(slim: DataFrame, key: list[str]) -> DataFrame:
+    """Classes of several rows: their rows, smallest id and the row that stays (any one of the rows that repeat the smallest id)."""
+    stats = slim.groupBy(*key).agg(F.count("*").alias("n_rows"), F.min("id").alias("keep_id"), F.coalesce(F.min_by("rid", "id"), F.min("rid")).alias("keep_rid"))
+    return stage(stats.where("n_rows > 1"), "exact-classes")
 
 
-def _classes(slim: DataFrame, key: list[str]) -> DataFrame:
-    """Per class: its rows, smallest id and the row that stays (any one of the rows that repeat the smallest id)."""
-    stats = slim.groupBy(*key).agg(F.count("*").alias("group_size"), F.min("id").alias("keep_id"), F.coalesce(F.min_by("rid", "id"), F.min("rid")).alias("keep_rid"))
-    return stage(stats, "exact-classes")
+def _members(texts: DataFrame, classes: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Texts whose class has several rows; only they move, up to RANGES * BROADCAST_ROWS classes."""
+    ranges = max(-(-n // max(BROADCAST_ROWS, 1)), 1)
+    if BROADCAST_ROWS and ranges <= RANGES:
+        part = lambda df, i: df.where(F.pmod(F.xxhash64("h"), F.lit(ranges)) == i)
+        return reduce(DataFrame.unionByName, [part(texts, i).join(F.broadcast(part(classes.select(*key), i)), key, "left_semi") for i in range(ranges)])
+    return attach(texts, classes.select(*key, "n_rows"), key, how="left_semi", broadcast_rows=0)
 
 
 def _collisions(texts: DataFrame, classes: DataFrame, key: list[str]) -> int:
     """Classes of several rows that hold texts of different bytes."""
-    repeated = classes.where("group_size > 1").select(*key)
-    members = texts.select(*key, "norm")
-    if (n := repeated.count()) <= BROADCAST_ROWS:
-        members = members.join(F.broadcast(repeated), key, "left_semi")
-    return members.distinct().groupBy(*key).count().where("count > 1").count() if n else 0
+    n = classes.count()
+    if not n:
+        return 0
+    members = _members(texts.select(*key, "norm"), classes, key, n)
+    return members.distinct().groupBy(*key).count().where("count > 1").count()
 
 
 def content_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 128) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Staged rows (id, rid, h, text_sha256), staged classes over them, and the columns that identify a class.
+    """Staged rows (id, rid, h, text_sha256), staged classes of several rows, and the columns that identify a class.
 
     Rows meet by ``h``, the first ``hash_bits`` bits of the MD5 of the normalised text. Each group of several rows
     is then compared by bytes: texts of one group are brought to one copy of each by map-side aggregation, so a hot
     group does not travel. Should a group hold different bytes, classes are formed by (h, SHA-256) and compared anew.
     """
-    norm = normalised(F.col(text_col))
-    texts = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumns({"h": content_hash(F.col("norm"), hash_bits), "text_sha256": F.sha2(F.col("norm"), 256)})
+    norm = normalised(F.col(f"`{text_col}`"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), norm.alias("norm")).withColumns({"h": content_hash(F.col("norm"), hash_bits), "text_sha256": F.sha2(F.col("norm"), 256)})
     slim = stage(texts.select("id", F.monotonically_increasing_id().alias("rid"), "h", "text_sha256"), "exact-rows")
     for key in (["h"], ["h", "text_sha256"]):
         classes = _classes(slim, key)
@@ -61,25 +71,33 @@ def exact_groups(docs: DataFrame, **options) -> DataFrame:
 
     Texts are equal when identical after each run of ASCII white space becomes one space; null counts as empty.
     Of equal texts the row with the smallest id stays; among rows that repeat that id exactly one stays. A null id
-    never wins against an id; a class of null ids only has keep_id null and one row that stays. Empty in, empty out.
+    never wins against an id; a class of null ids only has keep_id null and one row that stays. Empty in, empty out; other
+    columns don't matter. Only classes of several rows meet the rows again.
     """
     slim, classes, key = content_groups(docs, **options)
-    return slim.join(classes, key).select(F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    met = attach(slim, classes.withColumn("group_size", F.col("n_rows")), key, broadcast_rows=BROADCAST_ROWS)
+    alone = F.col("group_size").isNull()
+    return met.select(
+        F.col("id").alias("doc_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
+        "text_sha256",
+    )
 
 
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 128) -> DataFrame:
-    """``docs`` (all its columns) without rows whose normalised text another row with a smaller id has.
+    """``docs`` (all its columns, whatever their names) without rows whose normalised text another row with a smaller id has.
 
-    Same rules as ``exact_groups``. Only hashes of repeated contents meet the rows again: by broadcast up to
-    BROADCAST_ROWS, else by a shuffle join. Of rows repeating id and text, one is kept by a map-side aggregation.
+    Same rules as ``exact_groups``. Of rows that repeat the smallest id and the normalised text the one stays whose columns
+    hash least, so that reruns agree; they are aggregated where they lie.
     """
     _, classes, key = content_groups(docs, id_col=id_col, text_col=text_col, hash_bits=hash_bits)
-    repeated = stage(classes.where("group_size > 1").select(*[F.col(k).alias(f"__{k}") for k in key], F.col("keep_id").alias("__keep_id")), "exact-repeated")
-    norm = normalised(F.col(text_col))
-    own = {"__k_h": content_hash(norm, hash_bits)} | ({"__k_text_sha256": F.sha2(norm, 256)} if len(key) > 1 else {})
-    on = [F.col(f"__k_{k}") == F.col(f"__{k}") for k in key]
-    small = _sized(repeated, repeated.count())
-    rows = docs.withColumns(own)
-    single = rows.join(small, on, "left_anti").select(*docs.columns)
-    keepers = rows.join(small, on).where(F.col(f"`{id_col}`").eqNullSafe(F.col("__keep_id"))).dropDuplicates(list(own)).select(*docs.columns)
-    return single.unionByName(keepers)
+    rows, names = masked(docs)
+    norm = normalised(F.col(names[text_col]))
+    rows = rows.withColumns({"h": content_hash(norm, hash_bits)} | ({"text_sha256": F.sha2(norm, 256)} if len(key) > 1 else {}))
+    met = attach(rows, classes.select(*key, "keep_id", "n_rows", F.lit(True).alias("repeated")), key, broadcast_rows=BROADCAST_ROWS)
+    single = met.where("repeated is null")
+    keepers = met.where(F.col("repeated") & F.col(names[id_col]).eqNullSafe(F.col("keep_id")))
+    first = keepers.groupBy(*key).agg(F.min_by(F.struct(*names.values()), F.xxhash64(*names.values())).alias("r")).select("r.*")
+    return unmasked(single, docs).unionByName(unmasked(first, docs))

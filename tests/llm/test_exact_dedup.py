@@ -36,7 +36,7 @@ def test_groups_against_brute_force(spark, bits):
 
 
 @pytest.mark.parametrize("bits", [128, 4])
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [500_000, 2, 0])
 def test_dedup_keeps_one_row_of_each_text(spark, monkeypatch, bits, limit):
     monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", limit)
     df = spark.createDataFrame(ROWS, "doc_id long, text string").withColumn("h", F.lit("clash")).withColumn("norm", F.lit(1))
@@ -51,3 +51,21 @@ def test_dedup_keeps_one_row_of_each_text(spark, monkeypatch, bits, limit):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(df).count() == 0 and exact_dedup.exact_dedup(df).count() == 0
+
+
+def test_rows_equal_in_id_and_text_that_differ_elsewhere(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "z"), (2, "a b", "w"), (None, "c", "p"), (None, "c", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep_id string")
+    first = sorted(map(repr, exact_dedup.exact_dedup(df).collect()))
+    assert len(first) == 2 and all(sorted(map(repr, exact_dedup.exact_dedup(df.repartition(n, F.rand(n))).collect())) == first for n in (2, 3, 5))
+
+
+def test_many_repeated_classes_split_hot_ones(spark, monkeypatch):
+    from palimpsest.llm import joins
+
+    rows = [(i, "hot text") for i in range(50)] + [(100 + i, f"text {i // 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, exact_dedup.exact_groups(df).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 20)
+    assert sorted(map(repr, exact_dedup.exact_groups(df).collect())) == want
