@@ -145,7 +145,7 @@ select doc_id, keep_id, group_size::bigint as group_size, row_number() over (par
 with p as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
 l as (select page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from p),
 r as (select * from (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) as r(rule_host, rule_path, verdict)),
-m as (select page_id, host, path, (select arg_max(struct_pack(rule := rule_host || rule_path, verdict := r.verdict), length(rule_host || rule_path)) from r
+m as (select page_id, host, path, (select arg_max(struct_pack(rule := rule_host || rule_path, verdict := r.verdict), length(rule_host || rule_path) * 1000 + length(rule_host)) from r
   where (l.host = rule_host or ends_with(l.host, '.' || rule_host)) and starts_with(l.path, rule_path)) as x from l)
 select page_id, host, path, x.rule as rule, coalesce(x.verdict, 'allow') as verdict from m
 """,

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.joins import masked
+
 #: The rule set is read on the driver and broadcast; more rules than this need another way and are refused.
 MAX_RULES = 1_000_000
 
@@ -22,8 +24,9 @@ class Rule(NamedTuple):
 class Trie:
     """Nodes are dicts: host labels from the right, then under the key ``/`` whole path segments.
 
-    A rule ends at its last whole segment and keeps the rest of its path as a prefix for the next one. A match
-    deeper in the host wins over one that is longer in the path only; of equal rules the later entry wins.
+    A rule ends at its last whole segment and keeps the rest of its path as a prefix for the next one. Of the rules that fit
+    the longest wins, host and path counted together; of rules of equal length the one with the longer host, and of equal
+    rules the later entry.
     """
 
     def __init__(self, rules: Iterable[Rule]) -> None:
@@ -44,7 +47,7 @@ class Trie:
     @staticmethod
     def _in_path(node: dict, segments: list[str]) -> tuple[str, str] | None:
         """The longest rule below a host's node that the path starts with."""
-        best = None
+        best = None  # rules further down are longer, as they share host and segments
         for segment in segments[:-1]:
             best = Trie._longest(node, segment) or best
             node = node.get(("p", segment))
@@ -64,7 +67,9 @@ class Trie:
             node = node.get(("h", label))
             if node is None:
                 break
-            best = self._in_path(node, segments) or best
+            found = self._in_path(node, segments)
+            if found and (best is None or len(found[0]) >= len(best[0])):
+                best = found
         return best or (None, None)
 
 
@@ -88,6 +93,7 @@ def filter_urls(rows: DataFrame, rules: Iterable[Rule], *, url_col: str = "url",
     held = rows.sparkSession.sparkContext.broadcast(Trie(rules))
     added = ["host", "path", "rule", "verdict"]
     kept = [c for c in rows.columns if c not in added]
+    inner, names = masked(rows)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = held.value
@@ -97,6 +103,6 @@ def filter_urls(rows: DataFrame, rules: Iterable[Rule], *, url_col: str = "url",
             made = [hosts, paths, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] or default for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 2)), *made], names=[*b.schema.names[:-2], *added])
 
-    read = rows.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url_col}`")).alias("__host"), path_of(F.col(f"`{url_col}`")).alias("__path"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-2]), "host string", "path string", "rule string", "verdict string"])
-    return read.mapInArrow(judged, schema)
+    read = inner.select(*[names[c] for c in kept], host_of(F.col(names[url_col])).alias("h"), path_of(F.col(names[url_col])).alias("p"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-2]), "host string, path string, rule string, verdict string"])
+    return read.mapInArrow(judged, schema).toDF(*kept, *added)

@@ -18,7 +18,7 @@ def brute(url, rules, default="allow"):
         host = "".join(c.lower() if c.isascii() else c for c in host)
         path = tail[: min([tail.find(c) for c in "?#" if c in tail] or [len(tail)])]
     fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-    best = max(fits, key=lambda r: (r.host.count("."), len(r.path)), default=None)
+    best = max(fits, key=lambda r: (len(r.host + r.path), len(r.host)), default=None)
     return host, path, best.host + best.path if best else None, best.verdict if best else default
 
 
@@ -36,3 +36,10 @@ def test_default_rules_for_all_and_empty(spark):
     assert {r.verdict for r in U.filter_urls(df, [], default="block").collect()} == {"block"}
     assert [r.rule for r in U.filter_urls(df, [U.Rule("block", "")]).collect()] == ["", ""]
     assert U.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_longest_counts_host_and_path_together(spark):
+    rules = [U.Rule("block", "example.com", "/a/b/c/d"), U.Rule("allow", "www.example.com", "/"), U.Rule("allow", "w.net", "/ab"), U.Rule("block", "x.w.net", "/")]
+    df = spark.createDataFrame([(1, "http://www.example.com/a/b/c/d/e"), (2, "http://www.example.com/a"), (3, "http://x.w.net/abc")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in U.filter_urls(df, rules).collect()}
+    assert got == {1: ("example.com/a/b/c/d", "block"), 2: ("www.example.com/", "allow"), 3: ("x.w.net/", "block")}
