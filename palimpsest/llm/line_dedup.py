@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import let
+from palimpsest.llm.joins import BROADCAST_ROWS, attach, masked
 from palimpsest.storage import stage
 
 #: Lines with at least this many distinct sites are boilerplate.
@@ -13,8 +15,8 @@ LEAST_SITES = 4
 LG_K = 8
 #: Estimates within so many standard errors of the threshold are counted exactly.
 MARGIN = 5
-#: Removals are broadcast up to this many distinct texts (an 16-byte key and a few positions each), else shuffled.
-BROADCAST_ROWS = 200_000
+#: Removals are broadcast up to so many bytes (32 for a text, 4 for each position), else joined by shuffle.
+BROADCAST_BYTES = 1 << 26
 
 
 def lines_of(text: Column) -> Column:
@@ -27,6 +29,33 @@ def _line_key(line: Column) -> Column:
     return F.when(F.length(bare) > 0, F.unhex(F.md5(bare)))
 
 
+def _flags(positions: Column) -> Column:
+    """array<boolean>, true at the positions; looked up by index, so a text of many removals stays linear."""
+    step = lambda at, before: F.concat(F.array_repeat(F.lit(False), at - before - 1), F.array(F.lit(True)))
+    return let(F.array_sort(positions), lambda xs: F.flatten(F.zip_with(xs, F.concat(F.array(F.lit(-1)), F.slice(xs, F.lit(1), F.size(xs) - 1)), step)))
+
+
+def _line_keys(docs: DataFrame, text_col: str, site_col: str) -> DataFrame:
+    """Staged (key, site, lines): the text's hash, its site, the hash of each of its lines in order; no row for a null text."""
+    text = F.col(f"`{text_col}`")
+    return stage(docs.where(text.isNotNull()).select(F.unhex(F.md5(text)).alias("key"), F.col(f"`{site_col}`").cast("string").alias("site"), F.transform(lines_of(text), _line_key).alias("lines")), "line-keys")
+
+
+def _spread(slim: DataFrame, least_sites: int) -> DataFrame:
+    """(line, n_rows): boilerplate lines and in how many rows with a site they occur."""
+    lines = slim.where("site is not null").select("site", F.explode(F.array_distinct("lines")).alias("line")).where("line is not null")
+    estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
+    spread = stage(lines.groupBy("line").agg(F.count("*").alias("n_rows"), estimate.alias("sites")).where(F.col("n_rows") >= least_sites), "line-spread")
+    error = MARGIN * 1.04 / 2 ** (LG_K / 2)
+    low, high = least_sites * (1 - error) - 1, least_sites * (1 + error) + 1
+    near = stage(spread.where(F.col("sites").between(low, high)).select("line", "n_rows"), "line-near")
+    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # occurrences become one row per line and site before anything is shuffled by line
+    pairs = lines.join(F.broadcast(near.select("line")), "line", "left_semi").distinct() if few else lines.distinct().join(near.select("line"), "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
+    return spread.where(F.col("sites") > high).select("line", "n_rows").unionByName(near.join(exact.select("line"), "line", "left_semi"))
+
+
 def boilerplate_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
     """Hashes (line) of lines that occur in at least ``least_sites`` distinct non-null sites.
 
@@ -34,16 +63,7 @@ def boilerplate_lines(docs: DataFrame, *, text_col: str = "text", site_col: str
     Lines whose estimate lies within MARGIN standard errors of the threshold get an exact distinct count; above and
     below, the estimate decides.
     """
-    site = F.col(f"`{site_col}`").cast("string")
-    lines = docs.where(site.isNotNull()).select(site.alias("site"), F.explode(F.array_distinct(F.transform(lines_of(F.col(f"`{text_col}`")), _line_key))).alias("line")).where("line is not null")
-    estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K)))
-    spread = stage(lines.groupBy("line").agg(F.count("*").alias("n"), estimate.alias("sites")).where(F.col("n") >= least_sites), "line-spread")
-    error = MARGIN * 1.04 / 2 ** (LG_K / 2)
-    low, high = least_sites * (1 - error) - 1, least_sites * (1 + error) + 1
-    near = spread.where(F.col("sites").between(low, high)).select("line")
-    pairs = lines.join(near, "line", "left_semi").distinct()
-    exact = pairs.groupBy("line").agg(F.count("*").alias("sites")).where(F.col("sites") >= least_sites)
-    return spread.where(F.col("sites") > high).select("line").unionByName(exact.select("line"))
+    return _spread(_line_keys(docs, text_col, site_col), least_sites).select("line")
 
 
 def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", least_sites: int = LEAST_SITES) -> DataFrame:
@@ -51,19 +71,22 @@ def remove_boilerplate(docs: DataFrame, *, text_col: str = "text", site_col: str
 
     Lines end at a newline; white space at a line's ends does not count for equality; blank lines always stay. A null
     text stays null with n_lines 0, an empty one has one line. Rows with a null site lose boilerplate lines
-    but do not count towards them. Every copy of a boilerplate line goes. Removals depend on a text alone, so they
-    are found once per distinct text and meet the rows by the text's 128-bit hash: by broadcast up to
-    BROADCAST_ROWS texts, else by a shuffle join.
+    but do not count towards them. Every copy of a boilerplate line goes. Lines are hashed once. Removals depend on a text
+    alone, so they are found once per distinct text and meet the rows by the text's 128-bit hash: by broadcast up to
+    BROADCAST_BYTES, else by shuffle; lines and texts that many rows have are split. Empty in, empty out; column names are free.
     """
-    bad = stage(boilerplate_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites), "line-boilerplate")
-    text = F.col(f"`{text_col}`")
-    placed = docs.where(text.isNotNull()).select(F.unhex(F.md5(text)).alias("__key"), F.posexplode(F.transform(lines_of(text), _line_key)).alias("at", "line")).where("line is not null")
-    gone = stage(placed.join(bad, "line").select("__key", "at").distinct().groupBy("__key").agg(F.collect_list("at").alias("__at")), "line-removals")
-    n = gone.count()
-    rows = docs.withColumn("__own", F.unhex(F.md5(text))).join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, F.col("__own") == F.col("__key"), "left")
-    left = F.filter(lines_of(text), lambda x, i: ~F.array_contains(F.col("__at"), i))
-    clean = F.when(F.col("__at").isNull(), text).otherwise(F.array_join(left, "\n"))
+    slim = _line_keys(docs, text_col, site_col)
+    bad = stage(_spread(slim, least_sites), "line-boilerplate")
+    placed = slim.select("key", F.posexplode("lines").alias("at", "line")).where("line is not null")
+    found = attach(placed, bad, ["line"], how="left_semi", broadcast_rows=BROADCAST_ROWS).groupBy("key", "at").agg(F.count("*").alias("n"))
+    gone = stage(found.groupBy("key").agg(F.collect_list("at").alias("gone"), F.max("n").alias("n_rows")), "line-removals")
+    size = gone.agg(F.coalesce(F.sum(32 + 4 * F.size("gone")), F.lit(0))).first()[0]
+    rows, names = masked(docs)
+    text = F.col(names[text_col])
+    met = attach(rows.withColumn("key", F.unhex(F.md5(text))), gone, ["key"], broadcast_rows=0, count=0 if size <= BROADCAST_BYTES else 1)
+    left = let(_flags(F.col("gone")), lambda flags: F.filter(lines_of(text), lambda x, i: ~F.coalesce(F.get(flags, i), F.lit(False))))
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines_of(text))).cast("long")
-    made = {text_col: clean, "n_lines": n_lines, "n_removed": F.coalesce(F.size("__at"), F.lit(0)).cast("long")}
-    kept = [F.col(f"`{c}`") if c not in made else made[c].alias(c) for c in docs.columns]
-    return rows.select(*kept, *[made[c].alias(c) for c in ("n_lines", "n_removed") if c not in docs.columns])
+    made = {text_col: clean, "n_lines": n_lines, "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}
+    kept = [(made[c] if c in made else F.col(names[c])).alias(c) for c in docs.columns]
+    return met.select(*kept, *[made[c].alias(c) for c in ("n_lines", "n_removed") if c not in docs.columns])

@@ -32,9 +32,21 @@ def test_against_brute_force(spark, least):
 
 
 def test_shuffled_removals_clashes_and_empty(spark, monkeypatch):
+    from palimpsest.llm import joins
+
     monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 2)
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumn("n_lines", F.lit("x")).withColumn("line", F.lit(1))
     out = L.remove_boilerplate(df)
     assert out.columns == ["doc_id", "text", "source", "n_lines", "line", "n_removed"]
     assert sorted(map(repr, map(tuple, out.select("doc_id", "text", "n_lines", "n_removed").collect()))) == brute(ROWS, 4)
     assert L.remove_boilerplate(df.limit(0)).count() == 0
+
+
+def test_very_long_text(spark):
+    """Two hundred thousand lines, all but one of them boilerplate."""
+    many = "menu\n" * 200_000 + "own"
+    df = spark.createDataFrame([(1, many, "a"), (2, "menu", "b"), (3, "menu\nx", "c"), (4, "menu", "d")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in L.remove_boilerplate(df).collect()}
+    assert got == {1: ("own", 200_001, 200_000), 2: ("", 1, 1), 3: ("x", 2, 1), 4: ("", 1, 1)}
