@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -16,10 +17,33 @@ from pyspark.sql.window import Window
 from palimpsest.storage import stage
 
 CAPACITY = 4096
-#: Pieces of one length are numbered within so many parts, so that a length which most pieces have is no single task.
-PARTS = 128
-#: Words whose tokens a worker keeps; when full, it starts anew.
-CACHE = 250_000
+#: Pieces of one length are numbered within parts of about so many, so that a length which most pieces have is no single task.
+PART_ROWS = 200_000
+#: Chunks (of up to CACHED_LENGTH characters) whose tokens a worker keeps; when full, it starts anew.
+CACHE, CACHED_LENGTH = 100_000, 64
+#: How a tokenizer must normalise and split for WordTokens: lower-cased, and cut at white space whatever stands around it. Fixed values.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_spaces(path: str) -> bool:
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    first = ((told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    marks = any(c.isspace() for t in told.get("added_tokens") or () for c in t["content"])
+    return (told.get("normalizer") or {}).get("normalizers") == NORMALIZERS and first.get("pattern") == {"Regex": SPLIT} and first.get("behavior") == "Removed" and not marks
+
+
+class PlainTokens:
+    """Little-endian 32-bit ids of whole texts by any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class WordTokens(dict):
@@ -43,17 +67,15 @@ class WordTokens(dict):
         #: The printable stand-ins of byte-level vocabularies: visible Latin-1 characters stand for themselves, other bytes for 256 and up.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(shown))}
-        probe = "Aéz, über-Ñ (ok)!"
-        if [i for c in probe.split() for i in np.frombuffer(self[c], "<u4")] != self.tokenizer.encode(probe, add_special_tokens=False).ids:
-            raise ValueError(f"{path} isn't a lower-casing tokenizer that splits at white space")
 
     def merged(self, word: str) -> bytes:
         if (got := self.small.get(word)) is None:
             units = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
             got = np.array([t.id for t in self.merges.tokenize(units)], "<u4").tobytes()
-            if len(self.small) > CACHE:
+            if len(self.small) >= CACHE:
                 self.small.clear()
-            self.small[word] = got
+            if len(word) <= CACHED_LENGTH:
+                self.small[word] = got
         return got
 
     def __missing__(self, chunk: str) -> bytes:
@@ -62,9 +84,10 @@ class WordTokens(dict):
             got = self.merged(m[1].lower()) + (self.merged(m[2]) if m[2] else b"")
         else:
             got = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) > CACHE:
+        if len(self) >= CACHE:
             self.clear()
-        self[chunk] = got
+        if len(chunk) <= CACHED_LENGTH:
+            self[chunk] = got
         return got
 
     def ids(self, text: str) -> bytes:
@@ -76,10 +99,11 @@ class WordTokens(dict):
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, carry_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and ``end_id``, cut only where longer than ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    tokens_of = WordTokens if splits_at_spaces(tokenizer_path) else PlainTokens
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
@@ -103,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * carry_ids
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(cut, schema)
 
 
 class _Gaps:
@@ -194,31 +218,34 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (a stable table with doc_id, piece, ids_crc32 and length) with sequence_id and offset.
+    """``cut`` (a stable table of ``pieces``) with sequence_id and offset.
 
-    The driver gets one count per length. Each piece's rank among those of its length is its rank in one of PARTS
-    parts plus the parts before, so no length is sorted in one task. The plan's runs are joined by length; of a
-    length's runs the one holding the rank is found by an array search.
+    The driver gets one count per length. Each piece's rank among those of its length is its rank in a part of about PART_ROWS
+    of them plus the parts before, so no length is sorted in one task. A part's ranks are a range; only the runs of the plan that
+    meet this range are compared with its pieces. What is broadcast grows with lengths, plan and pieces / PART_ROWS.
     """
     spark = cut.sparkSession
-    parted = cut.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)))
-    sizes = parted.groupBy("length", "__part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("length", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"), "n")
-    base = stage(base, "pack-base")
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = [tuple(map(int, r)) for r in plan_bins(counts, capacity)]
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "__low", "__n", "__bin", "__each", "__at")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "low", "n", "bin", "each", "at")])
     plan = stage(spark.createDataFrame(runs, schema), "pack-plan")
-    inside = Window.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = parted.withColumn("__rank", F.row_number().over(inside) - 1).join(F.broadcast(base.drop("n")), ["length", "__part"]).withColumn("__rank", F.col("__rank") + F.col("__base"))
-    mine = (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__low") + F.col("__n"))
-    placed = ranked.alias("r").join(F.broadcast(plan).alias("p"), (F.col("r.length") == F.col("p.length")) & mine)
-    step = F.col("__rank") - F.col("__low")
+    shares = spark.createDataFrame([(int(k), -(-int(n) // PART_ROWS)) for k, n in counts.items()], "length long, parts long")
+    parted = cut.join(F.broadcast(shares), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
+    sizes = parted.groupBy("length", "part").agg(F.count("*").alias("own"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("length", "part", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
+    p, b = plan.alias("p"), base.alias("b")
+    meets = (F.col("b.length") == F.col("p.length")) & (F.col("p.low") < F.col("b.base") + F.col("b.own")) & (F.col("p.low") + F.col("p.n") > F.col("b.base"))
+    cells = stage(b.join(F.broadcast(p), meets).select("b.length", "b.part", "b.base", "p.low", "p.n", "p.bin", "p.each", "p.at"), "pack-cells")
+    inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = parted.withColumn("place", F.row_number().over(inside) - 1)
+    rank = F.col("place") + F.col("base")
+    placed = ranked.join(F.broadcast(cells), ["length", "part"]).where((rank >= F.col("low")) & (rank < F.col("low") + F.col("n")))
+    step = rank - F.col("low")
     return placed.select(
-        *[F.col(f"r.`{c}`") for c in cut.columns],
-        (F.col("__bin") + F.floor(step / F.col("__each"))).cast("long").alias("sequence_id"),
-        (F.col("__at") + step % F.col("__each") * F.col("r.length")).cast("long").alias("offset"),
+        *cut.columns,
+        (F.col("bin") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"),
+        (F.col("at") + step % F.col("each") * F.col("length")).cast("long").alias("offset"),
     )
 
 
@@ -227,7 +254,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     Per piece: doc_id, piece (from 0), start, length, ids_crc32 (unsigned, over little-endian unsigned 32-bit ids),
     sequence_id, offset (gapless from 0) and, with ``carry_ids``, the ids. Null text counts as empty: a piece of the
-    end id alone. Repeated rows and null ids are packed like others. An empty table gives an empty table.
+    end id alone. Repeated rows and null ids are packed like others, other columns don't matter. An empty table gives an empty
+    table. Any tokenizer file will do; one that cuts at white space is fed word by word.
     """
     cut = stage(pieces(docs, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity, carry_ids=carry_ids), "pack-pieces")
     return place(cut, capacity)

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -100,3 +101,37 @@ def test_pieces_and_places(spark):
     with_ids = P.pack(df.limit(3), PATH, carry_ids=True).collect()
     assert all(len(r.ids) == r.length for r in with_ids)
     assert P.pack(df.limit(0), PATH).count() == 0
+
+
+def test_other_tokenizers_and_parts(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = {1: "Hello  World, it's\tme", 2: None, 3: "é𝄞 " * 300, 4: " " * 50}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    plain = Tokenizer.from_file(path)
+    got = P.pieces(df, path, carry_ids=True, capacity=64).orderBy("doc_id", "piece").collect()
+    for d, t in texts.items():
+        assert sum([r.ids for r in got if r.doc_id == d], []) == [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+    monkeypatch.setattr(P, "PART_ROWS", 7)
+    many = spark.createDataFrame([(i, "w " * (i % 5)) for i in range(300)], "doc_id long, text string").withColumn("length", F.lit("x")).withColumn("part", F.lit(0))
+    rows = P.pack(many, public_tokenizers.path("word_bpe_49k.json"), capacity=16).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 300 and len({(r.doc_id, r.piece) for r in rows}) == 300
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 16
+
+
+def test_long_chunks_are_not_kept():
+    import public_tokenizers
+
+    tokens = P.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    text = "x" * 300_000 + " short " + "é1" * 1000
+    assert tokens.ids(text) == P.PlainTokens(public_tokenizers.path("word_bpe_49k.json")).ids(text) and list(tokens) == ["short"]
