@@ -20,7 +20,7 @@ CAPACITY = 4096
 #: Pieces of one length are numbered within parts of about so many, so that a length which most pieces have is no single task.
 PART_ROWS = 200_000
 #: Chunks (of up to CACHED_LENGTH characters) whose tokens a worker keeps; when full, it starts anew.
-CACHE, CACHED_LENGTH = 100_000, 64
+CACHE, CACHED_LENGTH = 250_000, 64
 #: How a tokenizer must normalise and split for WordTokens: lower-cased, and cut at white space whatever stands around it. Fixed values.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
