@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 from palimpsest.storage import stage
 
 CAPACITY = 4096
-#: Pieces of one length are numbered within parts of about so many, so that a length which most pieces have is no single task.
-PART_ROWS = 200_000
+#: Pieces of one length are numbered within parts of about so many, so that a length which most pieces have is no single task;
+#: up to LEAST_PARTS parts are smaller.
+PART_ROWS, LEAST_PARTS, SMALL_PART = 200_000, 64, 64
 #: Chunks (of up to CACHED_LENGTH characters) whose tokens a worker keeps; when full, it starts anew.
 CACHE, CACHED_LENGTH = 250_000, 64
 #: How a tokenizer must normalise and split for WordTokens: lower-cased, and cut at white space whatever stands around it. Fixed values.
@@ -222,14 +223,14 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The driver gets one count per length. Each piece's rank among those of its length is its rank in a part of about PART_ROWS
     of them plus the parts before, so no length is sorted in one task. A part's ranks are a range; only the runs of the plan that
-    meet this range are compared with its pieces. What is broadcast grows with lengths, plan and pieces / PART_ROWS.
+    meet this range are compared with its pieces. What is broadcast grows with lengths * LEAST_PARTS, plan and pieces / PART_ROWS.
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = [tuple(map(int, r)) for r in plan_bins(counts, capacity)]
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "low", "n", "bin", "each", "at")])
     plan = stage(spark.createDataFrame(runs, schema), "pack-plan")
-    shares = spark.createDataFrame([(int(k), -(-int(n) // PART_ROWS)) for k, n in counts.items()], "length long, parts long")
+    shares = spark.createDataFrame([(int(k), max(-(-int(n) // PART_ROWS), min(LEAST_PARTS, -(-int(n) // SMALL_PART)))) for k, n in counts.items()], "length long, parts long")
     parted = cut.join(F.broadcast(shares), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts"))).drop("parts")
     sizes = parted.groupBy("length", "part").agg(F.count("*").alias("own"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
