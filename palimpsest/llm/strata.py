@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.golay import SEGMENTS, codeword_index
+from palimpsest.llm.joins import attach
 from palimpsest.storage import discard, stage
 
 WORDS, SIMILARITY = 5, 0.8
@@ -28,6 +29,8 @@ LADDER = np.unique(np.round(2 ** (np.arange(60) / 2)).astype(np.int64))
 STRATA, LEAST = 32, 3
 #: Sets up to TINY have keys of single shingles; those up to SMALL twice as many strata, as some stay empty.
 TINY, SMALL = 16, 63
+#: No set of more elements has a key at a position of LADDER up to STRATA; sets up to it are carried along, 8 bytes an element.
+CARRIED = 4 * STRATA
 #: In runs of one key up to this long every pair is a candidate; longer ones first meet their least member.
 SHORT_RUN = 16
 #: A node's shingles are attached to at most so many candidate pairs in one task.
@@ -120,7 +123,7 @@ def strata_keys(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[
 
 
 def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``rows`` (i, h, t) as (i, h, node, n, keys): node the hash of the shingle set, n its size."""
+    """``rows`` (i, h, t) as (i, h, node, n, keys, small): node the hash of the shingle set, n its size, small the set itself up to CARRIED."""
     kind = rows.schema["i"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +133,10 @@ def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 sets = [shingle_set(t.as_py(), words) for t in part.column(2)]
                 nodes = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets]
                 columns = [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(strata_keys(sets, similarity), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["i", "h", "node", "n", "keys"])
+                columns.append(pa.array([s.tobytes() if len(s) <= CARRIED else None for s in sets], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "h", "node", "n", "keys", "small"])
 
-    return rows.select("i", "h", "t").mapInArrow(made, f"i {kind}, h long, node long, n int, keys array<long>")
+    return rows.select("i", "h", "t").mapInArrow(made, f"i {kind}, h long, node long, n int, keys array<long>, small binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -183,24 +187,42 @@ def _first_pairs(similarity: float):
     return made
 
 
+def similar_in_run(sets: list[np.ndarray], apart: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set those behind it that have the similarity and another group (``apart``); no pair is held but these."""
+    sizes = np.array([len(s) for s in sets])
+    numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(numbers), np.int32)
+    for i in range(len(sets) - 1):
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        mark[own] = 0
+        near = (both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) & (apart[i + 1 :] != apart[i])
+        if near.any():
+            yield i, i + 1 + np.flatnonzero(near)
+
+
 def _cross_pairs(similarity: float):
-    """Pairs of a long run with different labels and, where texts have more strata than keys, a second common key."""
+    """Pairs of a long run with different labels: similar ones where sets are carried along, else those with a second common key."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, sizes, labels, own in _runs(batches):
+        for keys, nodes, sizes, labels, own, small in _runs(batches):
             for s, e in _bounds(keys):
                 v, n, c = nodes[s:e], sizes[s:e], labels[s:e]
                 step = int(keys[s]) >> 36 >> 5
+                if LADDER[step] <= STRATA:
+                    for i, j in similar_in_run([np.frombuffer(x, np.uint64) for x in small[s:e]], c, similarity):
+                        yield _ordered(np.full(len(j), v[i]), v[j])
+                    continue
                 table = np.arange(-1, -1 - (e - s) * STRATA, -1, dtype=np.int64).reshape(e - s, STRATA)  # fillers that equal nothing
-                for r, ks in enumerate(own[s:e] if LADDER[step] > STRATA else ()):
+                for r, ks in enumerate(own[s:e]):
                     ks = ks[ks >> 41 == step]
                     table[r, (ks >> 36) & (STRATA - 1)] = ks
                 for i in range(e - s - 1):
                     ok = (c[i + 1 :] != c[i]) & (np.minimum(n[i], n[i + 1 :]) >= similarity * np.maximum(n[i], n[i + 1 :]) - 1e-9)
                     if ok.any():
                         j = i + 1 + np.flatnonzero(ok)
-                        if LADDER[step] > STRATA:
-                            j = j[(table[j] == table[i]).sum(axis=1) >= 2]
+                        j = j[(table[j] == table[i]).sum(axis=1) >= 2]
                         if len(j):
                             yield _ordered(np.full(len(j), v[i]), v[j])
 
@@ -229,9 +251,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     own = stage(found.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
-    fans = near.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"))
-    left = own.withColumnRenamed("node", "a").join(fans, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
-    dealt = near.join(fans, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
+    fans = stage(near.groupBy("a").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > FAN).withColumn("fan", F.ceil(F.col("n_rows") / FAN).cast("int")), "near-fans")
+    several = F.coalesce("fan", F.lit(1))
+    left = own.withColumnRenamed("node", "a").join(fans, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), several - 1)))
+    dealt = attach(near, fans, ["a"]).withColumn("part", F.pmod(F.xxhash64("b"), several).cast("int"))
     with_left = dealt.join(left.select("a", "part", F.col("shingles").alias("x")), ["a", "part"])
     both = with_left.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     links = stage(both.mapInArrow(similar, "a long, b long"), "near-links")
@@ -244,12 +267,12 @@ def similar_labels(texts: DataFrame, words: int, similarity: float) -> DataFrame
     """(i, h, label) of each row of ``texts`` (i, h, t): rows linked by a Jaccard similarity of shingle sets share a label.
 
     Equal shingle sets are one node; texts without words are one too. Nodes that share a key are candidates; a long run of
-    one key first meets its least member only, and of what is in different groups after that, all pairs with enough common
-    keys are candidates. Every link is verified on the sets.
+    one key first meets its least member only. What is in different groups after that is compared in the run: small sets
+    at once, larger ones by their other keys, with no pair written but the candidates. Every link is verified on the sets.
     """
     rows = stage(described(texts, words, similarity), "near-rows")
     order = F.struct(F.col("i").isNull(), "i", "h")
-    nodes = stage(rows.groupBy("node").agg(F.min_by(F.struct("i", "h", "n", "keys"), order).alias("r")).select("node", F.col("r.i").alias("of_i"), F.col("r.h").alias("of_h"), "r.n", "r.keys"), "near-nodes")
+    nodes = stage(rows.groupBy("node").agg(F.min_by(F.struct("i", "h", "n", "keys", "small"), order).alias("r")).select("node", F.col("r.i").alias("of_i"), F.col("r.h").alias("of_h"), "r.n", "r.keys", "r.small"), "near-nodes")
     by_key = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
     runs = stage(by_key.mapInArrow(_shared, "key long, node long, n int"), "near-runs")
     met = runs.repartition("key").sortWithinPartitions("key")
@@ -259,7 +282,9 @@ def similar_labels(texts: DataFrame, words: int, similarity: float) -> DataFrame
     split = known.groupBy("key").agg(F.count("*").alias("rows"), (F.min("label") != F.max("label")).alias("several")).where(F.col("several") & (F.col("rows") > SHORT_RUN)).select("key")
     rest = stage(known.join(split, "key", "left_semi"), "near-rest")
     if rest.limit(1).count():
-        again = rest.join(nodes.select("node", "keys"), "node").select("key", "node", "n", "label", "keys").repartition("key").sortWithinPartitions("key")
+        few = F.element_at(F.lit(LADDER.tolist()), (F.shiftright("key", 41) + 1).cast("int")) <= STRATA
+        told = rest.join(nodes.select("node", "keys", "small"), "node").select("key", "node", "n", "label", F.when(~few, F.col("keys")).alias("keys"), F.when(few, F.col("small")).alias("small"))
+        again = told.repartition("key").sortWithinPartitions("key")
         more = _verified(again.mapInArrow(_cross_pairs(similarity), "a long, b long"), nodes, texts, words, similarity)
         if more.limit(1).count():
             labels = connected_components(links.union(more))
