@@ -23,7 +23,9 @@ PREFIXES = (4, 5, 6)
 #: Every term has a place in a table of 2**TERM_BITS rows; terms of equal hash share it.
 TERM_BITS = 20
 #: Words (of up to CACHED_LENGTH letters) whose terms a worker keeps, and rows it holds terms of at a time.
-CACHE, CACHED_LENGTH, SLICE = 80_000, 64, 256
+CACHE, CACHED_LENGTH, SLICE = 80_000, 64, 128
+#: The words of texts of more characters are not listed with their repeats.
+LONG = 1 << 18
 #: Terms of the sample that the driver holds at a time; a larger sample is read again in parts in each epoch.
 HELD_TERMS = 16_000_000
 #: One labelled row in so many sets the cut and is not fitted on.
@@ -37,7 +39,7 @@ def terms(word: str) -> tuple[int, ...]:
 
 
 def word_set(text: str | None) -> set[str]:
-    return set(LETTERS.findall((text or "").lower()))
+    return {m[0] for m in LETTERS.finditer((text or "").lower())} if text and len(text) > LONG else set(LETTERS.findall((text or "").lower()))
 
 
 class TextTerms(dict):
@@ -51,8 +53,8 @@ class TextTerms(dict):
             self[word] = got
         return got
 
-    def of(self, text: str | None) -> list[int]:
-        return sorted(set().union(*map(self.__getitem__, word_set(text))))
+    def of(self, text: str | None) -> np.ndarray:
+        return np.unique(np.fromiter(chain.from_iterable(map(self.__getitem__, word_set(text))), np.int32))
 
 
 @dataclass
@@ -204,7 +206,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, *, text_
             scores = np.zeros(b.num_rows)
             for at in range(0, b.num_rows if fm else 0, SLICE):
                 rows = [cached.of(t.as_py()) for t in texts.slice(at, SLICE)]
-                flat = np.fromiter(chain.from_iterable(rows), np.int64)
+                flat = np.concatenate(rows)
                 z = fm.margin(flat, np.fromiter(map(len, rows), np.int64, len(rows)))
                 scores[at : at + SLICE] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             columns = [b.column(i) for i in range(b.num_columns - 1)]
