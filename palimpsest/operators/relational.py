@@ -146,10 +146,10 @@ def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("__r")).select(*keys, "__r.*")
 
 
-def column_profile(df: DataFrame, columns: Sequence[str], letter: str, sample: int = 200, least_chars: int = 8, least_rows: int = 5) -> DataFrame:
-    """Mean letter share and length per column over its values of at least ``least_chars`` characters, ``sample`` by hash."""
+def column_profile(df: DataFrame, columns: Sequence[str], letter: str, sample: int | None = 200, least_chars: int = 8, least_rows: int = 5) -> DataFrame:
+    """Mean letter share and length per column over its values of at least ``least_chars`` characters: ``sample`` of them by hash, or all."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns]))).where(F.length("v") >= least_chars)
-    picked = per_group_limit(long, ["column"], [F.xxhash64("v"), F.col("v")], sample)
+    picked = long if sample is None else per_group_limit(long, ["column"], [F.xxhash64("v"), F.col("v")], sample)
     agg = picked.groupBy("column").agg(F.count("*").alias("n"), F.avg(F.regexp_count("v", F.lit(letter)) / F.length("v")).alias("letter_ratio"), F.avg(F.length("v")).alias("mean_length"))
     return agg.where(F.col("n") >= least_rows)
 

@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 SCHEMA_VERSION = "1.0"
 LANGS = ("en", "zh", "ja", "vi")
-# States of documents and stages.
-DOC_STATUS = ("created", "partial", "complete", "failed")
+# States of documents and stages, and the parts that a document must have.
+DOC_STATUS = ("pending", "running", "complete", "partial", "failed")
 STAGE_STATUS = ("ok", "skipped", "cached", "failed")
 BLOCKS = ("source", "integrity", "simplified", "glossary", "ko_validation", "simplicity")
-REQUIRED = ("schema_version", "doc_id", "status", "created_at", "updated_at", *BLOCKS, "translations", "mt_validation")
+REQUIRED = ("schema_version", "doc_id", "status", "pipeline", *BLOCKS, "translations", "mt_validation", "display")
 
 META = T.StructType([T.StructField(n, T.StringType()) for n in ("stage", "stage_version", "input_hash", "status", "computed_at")])
 
@@ -24,12 +24,14 @@ def _block(**fields: T.DataType) -> T.StructType:
 
 
 _S, _I, _D = T.StringType(), T.IntegerType(), T.DoubleType()
+_LIST = T.ArrayType(_S)
 _SECTION = T.StructType([T.StructField("title", _S), T.StructField("body", _S), T.StructField("hangul_len", _I)])
 _INSERTION = T.StructType([T.StructField("term", _S), T.StructField("explanation", _S), T.StructField("position", _I)])
 
 DOCUMENT = T.StructType(
     [
-        *(T.StructField(n, _S) for n in ("schema_version", "doc_id", "status", "created_at", "updated_at")),
+        *(T.StructField(n, _S) for n in ("schema_version", "doc_id", "status")),
+        T.StructField("pipeline", T.StructType([T.StructField("langs", _LIST), T.StructField("stage_versions", T.MapType(_S, _S)), T.StructField("completed_stages", _LIST), T.StructField("failed_stages", _LIST)])),
         T.StructField("source", _block(text=_S, sections=T.ArrayType(_SECTION))),
         T.StructField("integrity", _block(blanks=T.ArrayType(_S), n_blanks=_I)),
         T.StructField("simplified", _block(text=_S, model=_S)),
@@ -38,6 +40,7 @@ DOCUMENT = T.StructType(
         T.StructField("simplicity", _block(metrics=T.MapType(_S, _D))),
         T.StructField("translations", T.MapType(_S, _block(text=_S, model=_S))),
         T.StructField("mt_validation", T.MapType(_S, _block(fwd=_D, rev=_D, num_keep=_D, term_acc=_D))),
+        T.StructField("display", T.StructType([T.StructField("korean_source", _S), T.StructField("korean_simple", _S), T.StructField("warnings", T.ArrayType(T.MapType(_S, _S))), T.StructField("glossary_tooltips", T.ArrayType(T.MapType(_S, _S)))])),
     ]
 )
 
@@ -66,6 +69,7 @@ def validation_errors(strict: bool = False) -> Column:
         found.append(F.when(~F.col(f"{block}.{count}").eqNullSafe(F.size(F.coalesce(F.col(f"{block}.{array}"), F.array().cast(DOCUMENT[block].dataType[array].dataType)))), F.lit(f"{block}.{count} and the length of {array} differ")))
     if strict:
         found.append(F.when(F.coalesce(F.col("source.text"), F.lit("")) == "", F.lit("source.text is empty")))
+        found.append(F.when(F.coalesce(F.col("display.korean_simple"), F.lit("")) == "", F.lit("display.korean_simple is empty")))
     rest = F.array_compact(F.array(*found))
     return F.when(F.size(top) > 0, top).otherwise(rest)
 

@@ -25,24 +25,19 @@ _KW, _OW = sql_words("src"), sql_words("out")
     f"""with {PAIRS}, p as (select *, {_KS} as ks, {_OO} as oo, {_KW} as kw, {_OW} as ow, {sql_squeeze('src')} as a, {sql_squeeze('out')} as b from pairs)
 select conv_id, turn, (length(b) / greatest(length(a), 1))::double as compression, 100.0::double * len(list_filter(oo, lambda s: list_contains(ks, s))) / greatest(len(oo), 1) as exact_copies,
   (len(oo) / greatest(len(ks), 1))::double as split_ratio, 100.0::double * len(list_filter(ow, lambda w: not list_contains(kw, w))) / greatest(len(ow), 1) as added_pct,
-  100.0::double * len(list_filter(kw, lambda w: not list_contains(ow, w))) / greatest(len(kw), 1) as deleted_pct,
-  case when a = '' and b = '' then 1.0::double else 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) end as levenshtein_sim from p where regexp_full_match(a || b, '[\\x00-\\x7F]*')"""
+  100.0::double * len(list_filter(kw, lambda w: not list_contains(ow, w))) / greatest(len(kw), 1) as deleted_pct from p"""
 )
 def turn_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F18 F19 J1 J13 (plain ASCII pairs, as its SQL has it, as DuckDB's levenshtein counts bytes; ``turn_pair_metrics_all`` takes every pair)"""
-    return _turn_metrics(turn_pairs(spark, sf_dir).where(F.concat(T.squeeze("src"), T.squeeze("out")).rlike(r"\A[\x00-\x7F]*\z")))
+    """F19 J1 J13"""
+    m = T.edit_metrics(F.col("src"), F.col("out"))
+    keep = ("compression", "exact_copies", "split_ratio", "added_pct", "deleted_pct")
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", *[m[k].alias(k) for k in keep])
 
 
 @query()
-def turn_pair_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F18 F19 J1 J13 over every pair"""
-    return _turn_metrics(turn_pairs(spark, sf_dir))
-
-
-def _turn_metrics(pairs: DataFrame) -> DataFrame:
-    m = T.edit_metrics(F.col("src"), F.col("out"))
-    keep = ("compression", "exact_copies", "split_ratio", "added_pct", "deleted_pct")
-    return pairs.select("conv_id", "turn", *[m[k].alias(k) for k in keep], T.levenshtein_similarity("src", "out").alias("levenshtein_sim"))
+def turn_pair_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18 over every pair (DuckDB's levenshtein counts bytes, so no SQL)"""
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", T.levenshtein_similarity("src", "out").alias("levenshtein_sim"))
 
 
 @query(f"with {PAIRS}, g as (select conv_id, turn, {sql_ngrams('src', 3)} as a, {sql_ngrams('out', 3)} as b from pairs) select conv_id, turn, {sql_jaccard('a', 'b')} as jaccard3, len(a)::int as n_src from g")
@@ -332,16 +327,10 @@ def translation_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {PAIRS}, {_NUM} select conv_id, turn, regexp_replace(src, '(\\d{{1,4}})(\\s*)(%|days|weeks|months|years|hours|min|mg|ml|cm|kg)', (3 * (turn + 2) + 1) || '\\2\\3') as changed from numbered where not regexp_matches(src, '\\d.*Take ')"""
+    f"""with {PAIRS}, {_NUM}, n as (select *, '(^|[^\\d.])(\\d{{1,4}})(\\s*)(%|days|weeks|months|years|hours|min|mg|ml|cm|kg)' as p from numbered)
+select conv_id, turn, regexp_replace(src, p, '\\1' || (3 * regexp_extract(src, p, 2)::int + 1) || '\\3\\4') as changed from n"""
 )
 def number_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first number becomes three times itself and one (turns whose own text has no digits, as its SQL has it; ``number_corruption_all`` takes every turn)"""
-    rows = numbered_pairs(spark, sf_dir).where(~F.col("src").rlike(r"\d.*Take "))
-    return rows.select("conv_id", "turn", P.change_number("src").alias("changed"))
-
-
-@query()
-def number_corruption_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first number of every turn becomes three times itself and one"""
     return numbered_pairs(spark, sf_dir).select("conv_id", "turn", P.change_number("src").alias("changed"))
 

@@ -109,23 +109,64 @@ def stage_cache_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.stale(wanted, cache, ["doc_id"]).select("doc_id", "input_hash")
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then ['missing: source'] else [] end as errors from documents")
+#: What is wrong with the document made for a doc_id, by doc_id % 13.
+_FAULTS = {
+    0: ["missing: source"], 1: ["schema_version differs: 0.9"], 2: ["unknown status: created"], 3: ["translations lacks vi"], 4: ["mt_validation lacks en"],
+    5: ["glossary.n_insertions and the length of insertions differ"], 6: ["glossary.n_skipped and the length of skipped differ"], 7: ["integrity.n_blanks and the length of blanks differ"],
+    8: ["source.meta.status is wrong: bad"], 9: ["simplified.meta lacks stage"], 10: ["missing: pipeline", "missing: display"], 11: ["translations.ja.meta lacks input_hash"],
+}
+_FAULTS_SQL = "case doc_id % 13 " + " ".join("when {} then [{}]".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in _FAULTS.items()) + " else [] end"
+
+
+def _made_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of the schema per row of documents, good but for what _FAULTS says."""
+    is_ = lambda k: F.col("id") % 13 == k
+    meta = lambda status="ok", stage="s", hashed="h": F.struct(*[x.cast("string").alias(k) for k, x in (("stage", F.lit(stage) if isinstance(stage, str) else stage), ("stage_version", F.lit("1")), ("input_hash", F.lit(hashed) if isinstance(hashed, str) else hashed), ("status", F.lit(status) if isinstance(status, str) else status), ("computed_at", F.lit("t")))])
+    kind = {f.name: f.dataType for f in DS.DOCUMENT.fields}
+
+    def block(name: str, **own: Column) -> Column:
+        return F.struct(*[own.get(g.name, F.lit(None)).cast(g.dataType).alias(g.name) for g in kind[name].fields])
+
+    def by_lang(name: str, without: str, when: Column, own: dict[str, Column]) -> Column:
+        value = lambda x: F.struct(*[(own.get(x, meta()) if g.name == "meta" else F.lit(None)).cast(g.dataType).alias(g.name) for g in kind[name].valueType.fields])
+        entry = lambda x: F.struct(F.lit(x).alias("key"), value(x).alias("value"))
+        every, fewer = (F.map_from_entries(F.array(*[entry(x) for x in DS.LANGS if x not in out])) for out in ((), (without,)))
+        return F.when(when, fewer).otherwise(every)
+
+    none, zero = F.array(), F.lit(0)
+    extra = lambda k: F.when(is_(k), 1).otherwise(0)
+    made = {
+        "schema_version": F.when(is_(1), "0.9").otherwise(DS.SCHEMA_VERSION),
+        "doc_id": F.lit("x"),
+        "status": F.when(is_(2), "created").otherwise("partial"),
+        "pipeline": F.when(~is_(10), F.struct(*[F.lit(None).cast(g.dataType).alias(g.name) for g in kind["pipeline"].fields])),
+        "source": F.when(~is_(0), block("source", text=F.col("text"), meta=meta(F.when(is_(8), "bad").otherwise("ok")))),
+        "integrity": block("integrity", blanks=none, n_blanks=extra(7), meta=meta()),
+        "simplified": block("simplified", meta=meta(stage=F.when(~is_(9), "s"))),
+        "glossary": block("glossary", insertions=none, skipped=none, n_insertions=extra(5), n_skipped=extra(6), meta=meta()),
+        "ko_validation": block("ko_validation", n_halluc=zero, meta=meta()),
+        "simplicity": block("simplicity"),
+        "translations": by_lang("translations", "vi", is_(3), {"ja": meta(hashed=F.when(~is_(11), "h"))}),
+        "mt_validation": by_lang("mt_validation", "en", is_(4), {}),
+        "display": F.when(~is_(10), block("display", korean_simple=F.when(F.length("text") > 500, F.col("text")))),
+    }
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").select("id", *[made[f.name].alias(f.name) for f in DS.DOCUMENT.fields])
+
+
+@query(f"select doc_id, {_FAULTS_SQL} as errors from documents")
 def schema_validate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P15 D13 P14"""
-    docs = table(spark, sf_dir, "documents")
-    meta = F.struct(*[F.lit(v).alias(k) for k, v in (("stage", "s"), ("stage_version", "1"), ("input_hash", "h"), ("status", "ok"), ("computed_at", "t"))])
-    made = []
-    for f in DS.DOCUMENT.fields:
-        kind = f.dataType
-        if f.name in ("translations", "mt_validation"):
-            value = F.map_from_entries(F.array(*[F.struct(F.lit(x), F.from_json(F.lit("{}"), kind.valueType)) for x in DS.LANGS]))
-        elif hasattr(kind, "fields"):
-            own = {"insertions": F.array().cast(DS.DOCUMENT["glossary"].dataType["insertions"].dataType), "skipped": F.array().cast(DS.DOCUMENT["glossary"].dataType["skipped"].dataType), "blanks": F.array().cast("array<string>"), "meta": meta, "text": F.col("text")}
-            value = F.struct(*[(F.lit(0) if g.name.startswith("n_") else own.get(g.name, F.lit(None))).cast(g.dataType).alias(g.name) for g in kind.fields])
-        else:
-            value = F.lit({"schema_version": DS.SCHEMA_VERSION, "status": "partial"}.get(f.name, "x"))
-        made.append((F.when(F.col("doc_id") % 3 != 0, value) if f.name == "source" else value).alias(f.name))
-    return docs.select(F.col("doc_id").alias("id"), *made).select(F.col("id").alias("doc_id"), DS.validation_errors().alias("errors"))
+    """Each check fires for some documents"""
+    return _made_documents(spark, sf_dir).select(F.col("id").alias("doc_id"), DS.validation_errors().alias("errors"))
+
+
+@query(
+    f"""with d as (select doc_id, coalesce(length(text), 0) as n, {_FAULTS_SQL} as plain from documents)
+select doc_id, list_sort(case when doc_id % 13 in (0, 10) then plain else list_concat(list_concat(plain, case doc_id % 13 when 3 then ['simplicity.meta is empty', 'translations.vi.meta is empty'] when 4 then ['simplicity.meta is empty', 'mt_validation.en.meta is empty'] else ['simplicity.meta is empty'] end),
+  list_concat(case when n = 0 then ['source.text is empty'] else [] end, case when n <= 500 then ['display.korean_simple is empty'] else [] end)) end) as errors from d"""
+)
+def schema_validate_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not filled in yet counts as well"""
+    return _made_documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.array_sort(DS.validation_errors(strict=True)).alias("errors"))
 
 
 @query("with s as (select doc_id, unnest(['extract', 'simplify']) as stage from documents), t as (select doc_id, stage, case when doc_id % 10 = 0 and stage = 'extract' then 'failed' when doc_id % 3 = 0 and stage = 'simplify' then 'pending' else 'ok' end as status from s) select doc_id, case when bool_or(status = 'failed') then 'failed' when count(*) filter (where status = 'ok') = 2 then 'complete' else 'partial' end as status from t group by doc_id")
@@ -215,22 +256,12 @@ def first_occurrence_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with p as (select doc_id, text, length(regexp_replace(left(text, 2000), '[^()]', '', 'g')) as n from documents)
+    """with p as (select doc_id, text, length(regexp_replace(text, '[^()]', '', 'g')) as n from documents)
 select doc_id, n::int as brackets from p"""
 )
 def bracket_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W9 input (first 2,000 characters, as its SQL has it; ``bracket_count_all`` takes the whole text)"""
-    return _brackets(spark, sf_dir, F.left("text", F.lit(2000)))
-
-
-@query()
-def bracket_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W9 input over whole texts"""
-    return _brackets(spark, sf_dir, F.col("text"))
-
-
-def _brackets(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace(text, "[^()]", "")).alias("brackets"))
+    """W9 input"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", "[^()]", "")).alias("brackets"))
 
 
 _GRAMS = "g as (select distinct conv_id || ':' || turn as pair, lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,8}'))) as cand from conversations where role = 'assistant'), t as (select distinct conv_id || ':' || turn as pair, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,4}'))) as term from conversations where role = 'assistant')"
@@ -264,22 +295,13 @@ def substring_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_TOK}, t as (select distinct doc_id, word from tok where doc_id < 60 and length(word) >= 6), p as (select distinct doc_id, lower(word) as other from tok where doc_id < 60),
+    f"""with {_TOK}, t as (select distinct doc_id, word from tok where length(word) >= 6), p as (select distinct doc_id, lower(word) as other from tok),
 h as (select t.doc_id, word, other, row_number() over (partition by t.doc_id, word order by length(other) desc, other) as k from t join p on t.doc_id = p.doc_id and (contains(other, word) or contains(word, other)) and other <> word and length(other) >= 3)
 select doc_id, word, other as variant from h where k = 1"""
 )
 def longest_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J18 (60 documents' words, as its SQL has it; ``longest_variant_all`` takes every document)"""
-    return _longest_variant(_tokens(spark, sf_dir).where("doc_id < 60"))
-
-
-@query()
-def longest_variant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J18 over every document; pairs are within a document"""
-    return _longest_variant(_tokens(spark, sf_dir))
-
-
-def _longest_variant(tokens: DataFrame) -> DataFrame:
+    """J18, within each document"""
+    tokens = _tokens(spark, sf_dir)
     terms = tokens.where("length(word) >= 6").select("doc_id", "word").distinct()
     pool = tokens.select("doc_id", F.lower("word").alias("other")).distinct()
     return MI.longest_variant(terms, pool, "doc_id", "word", "other")
@@ -330,20 +352,11 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reading_order(e, "page").select("page", "vec_id", "position")
 
 
-@query("with v as (select 'text' as c, text as v from documents where doc_id < 200 union all select 'source', source || ' name' from documents where doc_id < 200) select c as column, count(*) as n, avg(len(regexp_extract_all(v, '[A-Za-z]'))::double / length(v)) as letter_ratio, avg(length(v)) as mean_length from v where length(v) >= 8 group by c having count(*) >= 5")
+@query("with v as (select 'text' as c, text as v from documents union all select 'source', source || ' name' from documents) select c as column, count(*) as n, avg(len(regexp_extract_all(v, '[A-Za-z]'))::double / length(v)) as letter_ratio, avg(length(v)) as mean_length from v where length(v) >= 8 group by c having count(*) >= 5")
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A17 (the first 200 documents, as its SQL has it; ``column_profile_all`` samples all rows)"""
-    return _column_profile(table(spark, sf_dir, "documents").where("doc_id < 200"))
-
-
-@query()
-def column_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """200 values a column, sampled by hash out of all rows"""
-    return _column_profile(table(spark, sf_dir, "documents"))
-
-
-def _column_profile(docs: DataFrame) -> DataFrame:
-    return R.column_profile(docs.select("text", F.concat("source", F.lit(" name")).alias("source")), ["text", "source"], "[A-Za-z]", sample=200)
+    """A17 over all values"""
+    docs = table(spark, sf_dir, "documents")
+    return R.column_profile(docs.select("text", F.concat("source", F.lit(" name")).alias("source")), ["text", "source"], "[A-Za-z]", sample=None)
 
 
 @query()

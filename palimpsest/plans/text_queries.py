@@ -30,7 +30,7 @@ def sentence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with d as (select doc_id, {sql_sents('text')} as s from documents where n_chars <= 4000),
+    f"""with d as (select doc_id, {sql_sents('text')} as s from documents),
 c as (select doc_id, case when len(s) = 0 then ['(empty)'] else list_concat(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || ' ' || s[i + 1])),
   list_transform(range(1, greatest(len(s) - 1, 1)), lambda i: s[i] || ' ' || s[i + 1] || ' ' || s[i + 2])) end as chunks from d),
 e as (select doc_id, unnest(chunks) as chunk, generate_subscripts(chunks, 1) as pos from c),
@@ -38,18 +38,8 @@ f as (select doc_id, chunk, min(pos) as pos from e group by doc_id, chunk)
 select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as chunk_id, chunk from f"""
 )
 def chunk_window_1_3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1 U5 D4 (documents of up to 4000 characters, as its SQL has it; ``chunk_window_1_3_all`` takes every document)"""
-    return _chunks(table(spark, sf_dir, "documents").where("n_chars <= 4000"))
-
-
-@query()
-def chunk_window_1_3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1 U5 D4 over every document's whole text"""
-    return _chunks(table(spark, sf_dir, "documents"))
-
-
-def _chunks(docs: DataFrame) -> DataFrame:
-    return R.sentences(docs, R.sliding_chunks(T.split_sentences("text")), ["doc_id"], "chunk", "chunk_id")
+    """W1 U5 D4"""
+    return R.sentences(table(spark, sf_dir, "documents"), R.sliding_chunks(T.split_sentences("text")), ["doc_id"], "chunk", "chunk_id")
 
 
 @query(rf"select doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::int as squeezed, strlen(text)::int as bytes from documents")
@@ -168,25 +158,17 @@ _VOCAB = "v as (select w, (1 + (count(*) % 6))::int as grade from (select distin
 
 @query(
     f"""with {_VOCAB},
-t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents where doc_id < 500),
-h as (select word, arg_max(grade, length(w)) as grade from t join v on starts_with(word, w) and (length(w) >= 2 or w = word) group by word)
+t as (select distinct lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as word from documents),
+p as (select word, unnest(list_transform(range(1, length(word) + 1), lambda i: left(word, i::int))) as w from t),
+h as (select word, arg_max(grade, length(w)) as grade from p join v using (w) where length(w) >= 2 or w = word group by word)
 select word, grade from t left join h using (word)"""
 )
 def vocab_longest_prefix_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first 500 documents, as its SQL has it, against a vocabulary of frequent short ones"""
-    return _prefix_grades(table(spark, sf_dir, "documents"), "doc_id < 500")
-
-
-@query()
-def vocab_longest_prefix_grade_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document against the same vocabulary"""
-    return _prefix_grades(table(spark, sf_dir, "documents"), "true")
-
-
-def _prefix_grades(docs: DataFrame, which: str) -> DataFrame:
+    """Words of all documents against a vocabulary of frequent short ones"""
+    docs = table(spark, sf_dir, "documents")
     short = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,6}"), F.lit(0))).alias("w")).select("doc_id", F.lower("w").alias("w")).distinct()
     vocab = short.groupBy("w").agg(F.count("*").alias("n")).where("n >= 5").select("w", (1 + F.col("n") % 6).cast("int").alias("grade"))
-    tokens = docs.where(which).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).select(F.lower("x").alias("word")).distinct()
+    tokens = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("x")).select(F.lower("x").alias("word")).distinct()
     return R.longest_prefix(tokens, vocab, "word", "w", "grade")
 
 

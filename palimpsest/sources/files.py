@@ -50,29 +50,37 @@ def union_latest(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return latest(every, [key], "__file").drop("__file")
 
 
-def scan_corpus(spark: SparkSession, path: str, *, limit_per_file: int = 4000, first: str = "med") -> DataFrame:
+def scan_corpus(spark: SparkSession, path: str, *, limit_per_file: int | None = None, first: str = "med") -> DataFrame:
     """Records of the json, jsonl, csv and tsv files of a folder as (file, priority, row, record map<string,string>).
 
-    Files whose name holds ``first`` have priority 0. A JSON file is an array of records or an object holding one.
+    Files whose name holds ``first`` have priority 0. A JSON file is an array of records or an object holding one; one that
+    cannot be read raises ValueError, a broken line of a jsonl file is left out. ``row`` rises in file order, and
+    ``limit_per_file`` keeps the first so many records of each file.
     """
+    ordered = "file string, row long, record map<string,string>"
+
     def read(kind: str) -> DataFrame | None:
         src = spark.read.option("pathGlobFilter", f"*.{kind}").option("recursiveFileLookup", True)
         if kind == "jsonl":
-            lines = src.text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("record"))
+            # ranges of a file by where they begin, lines within a range as they are read
+            at = F.struct(F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("line"))
+            lines = src.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.from_json("value", "map<string,string>").alias("record"))
             return lines.where("record is not null")
         if kind == "json":
             whole = src.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-            return whole.mapInPandas(_json_records, "file string, record map<string,string>")
+            return whole.mapInPandas(_json_records, ordered)
         table = src.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
         sep = "," if kind == "csv" else "\t"
-        return table.mapInPandas(lambda it: _csv_records(it, sep), "file string, record map<string,string>")
+        return table.mapInPandas(lambda it: _csv_records(it, sep), ordered)
 
     every = None
     for kind in ("json", "jsonl", "csv", "tsv"):
         one = read(kind)
+        if kind != "jsonl":
+            one = one.select("file", F.struct(F.lit(0).cast("long").alias("range"), F.col("row").alias("line")).alias("at"), "record")
         every = one if every is None else every.unionByName(one)
-    rows = every.withColumn("priority", F.when(F.contains(F.lower("file"), F.lit(first)), 0).otherwise(1)).withColumn("row", F.xxhash64("file", F.map_entries("record").cast("string")))
-    return per_group_limit(rows, ["file"], [F.col("row")], limit_per_file)
+    rows = every.select("file", F.when(F.contains(F.lower("file"), F.lit(first)), 0).otherwise(1).alias("priority"), F.col("at").alias("row"), "record")
+    return rows if limit_per_file is None else per_group_limit(rows, ["file"], [F.col("row")], limit_per_file)
 
 
 def _json_records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,10 +99,10 @@ def _json_records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for file, value in zip(pdf["file"], pdf["value"], strict=True):
             try:
                 records = found(json.loads(value.lstrip("﻿"))) or []
-            except ValueError:
-                records = []
-            rows += [(file, {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in r.items()}) for r in records]
-        yield pd.DataFrame(rows, columns=["file", "record"])
+            except ValueError as broken:
+                raise ValueError(f"{file} is no JSON: {broken}") from broken
+            rows += [(file, n, {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in r.items()}) for n, r in enumerate(records)]
+        yield pd.DataFrame(rows, columns=["file", "row", "record"])
 
 
 def _csv_records(parts: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFrame]:
@@ -104,8 +112,8 @@ def _csv_records(parts: Iterator[pd.DataFrame], sep: str) -> Iterator[pd.DataFra
     for pdf in parts:
         rows = []
         for file, value in zip(pdf["file"], pdf["value"], strict=True):
-            rows += [(file, {k: v or "" for k, v in r.items() if k}) for r in csv.DictReader(io.StringIO(value.lstrip("﻿")), delimiter=sep)]
-        yield pd.DataFrame(rows, columns=["file", "record"])
+            rows += [(file, n, {k: v or "" for k, v in r.items() if k}) for n, r in enumerate(csv.DictReader(io.StringIO(value.lstrip("﻿")), delimiter=sep))]
+        yield pd.DataFrame(rows, columns=["file", "row", "record"])
 
 
 def scan_table(spark: SparkSession, path: str, *, sep: str = ",", schema: str | None = None) -> DataFrame:

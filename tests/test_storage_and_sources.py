@@ -43,6 +43,9 @@ def test_outputs_and_corpus(spark, tmp_path):
     (corpus / "z.tsv").write_text("ko\ten\n마\tma\n", encoding="utf-8")
     got = S.scan_corpus(spark, str(corpus)).collect()
     assert sorted(r.record["ko"] for r in got) == sorted("가나다라마") and {r.priority for r in got} == {0, 1}
+    (corpus / "long.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(5000)), encoding="utf-8")
+    long = lambda **limit: [int(r.record["n"]) for r in S.scan_corpus(spark, str(corpus), **limit).where("file like '%long%'").orderBy("row").collect()]
+    assert long() == list(range(5000)) and long(limit_per_file=7) == list(range(7))
 
 
 def test_sinks(spark, tmp_path):

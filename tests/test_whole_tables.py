@@ -31,22 +31,22 @@ def test_late_ids_count(spark, tables):
             near = {o.lower() for o in tok if (w in o.lower() or o.lower() in w) and o.lower() != w}
             if near:
                 want.add((i, w, min(near, key=lambda o: (-len(o), o))))
-    assert {tuple(r) for r in Q["longest_variant_all"](spark, d).collect()} == want
-    assert {r.word for r in Q["vocab_longest_prefix_grade_all"](spark, d).collect()} == {w.lower() for t in texts.values() for w in t.split()}
+    assert {tuple(r) for r in Q["longest_variant"](spark, d).collect()} == want
+    assert {r.word for r in Q["vocab_longest_prefix_grade"](spark, d).collect()} == {w.lower() for t in texts.values() for w in t.split()}
 
 
-def test_profile_samples_all_rows(spark, tables):
+def test_profile_takes_all_rows(spark, tables):
     d = tables("documents", [(500 + i, f"text number {i}", "source", 1) for i in range(300)], DOCS)
-    assert {(r.column, r.n) for r in Q["column_profile_all"](spark, d).collect()} == {("text", 200), ("source", 200)}
+    assert {(r.column, r.n) for r in Q["column_profile"](spark, d).collect()} == {("text", 300), ("source", 300)}
 
 
 def test_long_texts_and_null_lengths_count(spark, tables):
     sents = [f"Sentence number {i} is here (in brackets)." for i in range(200)]
     d = tables("documents", [(1, " ".join(sents), "web", 9000), (2, " ".join(sents[:2]), "web", None)], DOCS)
-    chunks = Q["chunk_window_1_3_all"](spark, d).collect()
+    chunks = Q["chunk_window_1_3"](spark, d).collect()
     want = {" ".join(sents[i : i + k]) for k in (1, 2, 3) for i in range(201 - k)}
     assert {r.chunk for r in chunks if r.doc_id == 1} == want and len([r for r in chunks if r.doc_id == 2]) == 3
-    assert {tuple(r) for r in Q["bracket_count_all"](spark, d).collect()} == {(1, 400), (2, 4)}
+    assert {tuple(r) for r in Q["bracket_count"](spark, d).collect()} == {(1, 400), (2, 4)}
 
 
 def test_omission_takes_every_sentence(spark, tables):
@@ -78,9 +78,9 @@ TURNS = "conv_id long, turn int, role string, text string"
 def test_accented_pairs_and_turns_with_digits_count(spark, tables):
     said = [("Où est la clé du café près d'ici ?", "La clé est à la réception."), ("Give 2 mg now.", "Giving 2 mg now."), ("plain words only", "plain words alone")]
     d = tables("conversations", [(i, t, ("user", "assistant")[t], said[i][t]) for i in range(3) for t in (0, 1)], TURNS)
-    got = {r.conv_id: r.levenshtein_sim for r in Q["turn_pair_metrics_all"](spark, d).collect()}
+    got = {r.conv_id: r.levenshtein_sim for r in Q["turn_pair_levenshtein"](spark, d).collect()}
     assert set(got) == {0, 1, 2} and all(abs(got[i] - (1 - _levenshtein(a, b) / max(len(a), len(b)))) < 1e-9 for i, (a, b) in enumerate(said))
-    changed = {r.conv_id: r.changed for r in Q["number_corruption_all"](spark, d).collect()}
+    changed = {r.conv_id: r.changed for r in Q["number_corruption"](spark, d).collect()}
     assert set(changed) == {0, 1, 2} and changed[1].startswith("Give 7 mg now.")
 
 
