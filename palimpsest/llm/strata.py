@@ -29,8 +29,9 @@ LADDER = np.unique(np.round(2 ** (np.arange(60) / 2)).astype(np.int64))
 STRATA, LEAST = 32, 3
 #: Sets up to TINY have keys of single shingles; those up to SMALL twice as many strata, as some stay empty.
 TINY, SMALL = 16, 63
-#: No set of more elements has a key at a position of LADDER up to STRATA; sets up to it are carried along, 8 bytes an element.
-CARRIED = 4 * STRATA
+#: In a long run sets are compared by the elements of their first CARRIED strata: all of them where there are no more strata.
+#: Beyond that the share of common elements is an estimate, and SLACK standard deviations below the similarity is still a candidate.
+CARRIED, SLACK = 256, 5
 #: In runs of one key up to this long every pair is a candidate; longer ones first meet their least member.
 SHORT_RUN = 16
 #: A node's shingles are attached to at most so many candidate pairs in one task.
@@ -81,6 +82,10 @@ def single_keys(s: np.ndarray, similarity: float) -> np.ndarray:
     return s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1] if len(s) <= TINY else s[:0]
 
 
+def strata_of(s: np.ndarray, step: int) -> np.ndarray:
+    return ((((s * _SPREAD) >> np.uint64(32)) * np.uint64(LADDER[step])) >> np.uint64(32)).astype(np.int64)
+
+
 def strata_keys(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[np.ndarray]:
     """Keys of each shingle set: position in LADDER, stratum, and the codewords nearest to the three segments of its fingerprint.
 
@@ -94,9 +99,8 @@ def strata_keys(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[
             which.append(np.zeros(len(single), np.int64))
             stratum.append(np.arange(len(single)))
             hashes.append(single)
-        spread = (s * _SPREAD) >> np.uint64(32)
         for step in steps(len(s), similarity) if len(s) else ():
-            own = ((spread * np.uint64(LADDER[step])) >> np.uint64(32)).astype(np.int64)
+            own = strata_of(s, step)
             used = own < STRATA
             hashes.append(s[used])
             stratum.append(own[used])
@@ -123,7 +127,7 @@ def strata_keys(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[
 
 
 def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """``rows`` (i, h, t) as (i, h, node, n, keys, small): node the hash of the shingle set, n its size, small the set itself up to CARRIED."""
+    """``rows`` (i, h, t) as (i, h, node, n, keys): node the hash of the shingle set, n its size."""
     kind = rows.schema["i"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,18 +137,17 @@ def described(rows: DataFrame, words: int, similarity: float) -> DataFrame:
                 sets = [shingle_set(t.as_py(), words) for t in part.column(2)]
                 nodes = [xxhash.xxh64_intdigest(s.tobytes(), 1) - (1 << 63) for s in sets]
                 columns = [part.column(0), part.column(1), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(strata_keys(sets, similarity), pa.list_(pa.int64()))]
-                columns.append(pa.array([s.tobytes() if len(s) <= CARRIED else None for s in sets], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["i", "h", "node", "n", "keys", "small"])
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "h", "node", "n", "keys"])
 
-    return rows.select("i", "h", "t").mapInArrow(made, f"i {kind}, h long, node long, n int, keys array<long>, small binary")
+    return rows.select("i", "h", "t").mapInArrow(made, f"i {kind}, h long, node long, n int, keys array<long>")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[list[np.ndarray]]:
     """The columns, in pieces that end where a run of equal keys (first column) ends."""
     held: list[list[np.ndarray]] = []
     for b in batches:
         held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
-        if sum(len(x[0]) for x in held) >= 500_000:
+        if sum(len(x[0]) for x in held) >= rows:
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(whole[0], whole[0][-1]))
             if cut:
@@ -187,70 +190,95 @@ def _first_pairs(similarity: float):
     return made
 
 
-def similar_in_run(sets: list[np.ndarray], apart: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set those behind it that have the similarity and another group (``apart``); no pair is held but these."""
+def similar_in_run(sets: list[np.ndarray], apart: np.ndarray, similarity: float, exact: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Similar pairs of different groups (``apart``) among the sets of a run, by (position, positions behind it).
+
+    Where the sets are whole (``exact``) a set is linked only with sets that no earlier link connects it to, so there are fewer links than sets.
+    """
+    apart = apart.copy()
     sizes = np.array([len(s) for s in sets])
     numbers, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(numbers), np.int32)
     for i in range(len(sets) - 1):
+        other = apart[i + 1 :] != apart[i]
+        if not sizes[i] or not other.any():
+            continue
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = 1
-        both = np.add.reduceat(mark[flat[starts[i + 1] :]], starts[i + 1 :] - starts[i + 1])
+        both = np.concatenate([[0], np.cumsum(mark[flat[starts[i + 1] :]])])
+        low = starts[i + 1 :] - starts[i + 1]
+        both = both[low + sizes[i + 1 :]] - both[low]
         mark[own] = 0
-        near = (both >= similarity * (sizes[i] + sizes[i + 1 :] - both) - 1e-9) & (apart[i + 1 :] != apart[i])
+        union = sizes[i] + sizes[i + 1 :] - both
+        least = similarity if exact else similarity - SLACK * np.sqrt(similarity * (1 - similarity) / np.maximum(union, 1))
+        near = (both >= least * union - 1e-9) & other
         if near.any():
-            yield i, i + 1 + np.flatnonzero(near)
+            found = np.flatnonzero(near)
+            if exact:
+                found = found[np.unique(apart[i + 1 :][found], return_index=True)[1]]
+            yield i, i + 1 + found
+            if exact:
+                apart[np.isin(apart, apart[i + 1 + found])] = apart[i]
 
 
 def _cross_pairs(similarity: float):
-    """Pairs of a long run with different labels: similar ones where sets are carried along, else those with a second common key."""
+    """Pairs of a long run with different labels that are similar by the elements carried along."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, nodes, sizes, labels, own, small in _runs(batches):
+        for keys, nodes, labels, carried in _runs(batches, 4096):
             for s, e in _bounds(keys):
-                v, n, c = nodes[s:e], sizes[s:e], labels[s:e]
-                step = int(keys[s]) >> 36 >> 5
-                if LADDER[step] <= STRATA:
-                    for i, j in similar_in_run([np.frombuffer(x, np.uint64) for x in small[s:e]], c, similarity):
-                        yield _ordered(np.full(len(j), v[i]), v[j])
-                    continue
-                table = np.arange(-1, -1 - (e - s) * STRATA, -1, dtype=np.int64).reshape(e - s, STRATA)  # fillers that equal nothing
-                for r, ks in enumerate(own[s:e]):
-                    ks = ks[ks >> 41 == step]
-                    table[r, (ks >> 36) & (STRATA - 1)] = ks
-                for i in range(e - s - 1):
-                    ok = (c[i + 1 :] != c[i]) & (np.minimum(n[i], n[i + 1 :]) >= similarity * np.maximum(n[i], n[i + 1 :]) - 1e-9)
-                    if ok.any():
-                        j = i + 1 + np.flatnonzero(ok)
-                        j = j[(table[j] == table[i]).sum(axis=1) >= 2]
-                        if len(j):
-                            yield _ordered(np.full(len(j), v[i]), v[j])
+                sets = [np.frombuffer(x, np.uint64) for x in carried[s:e]]
+                for i, j in similar_in_run(sets, labels[s:e], similarity, bool(LADDER[int(keys[s]) >> 41] <= CARRIED)):
+                    yield _ordered(np.full(len(j), nodes[s + i]), nodes[s + j])
 
     return made
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets have the similarity, compared on the whole sets.
+def _carried(rows: DataFrame) -> DataFrame:
+    """(key, node, label, shingles) with the shingles of the key's first CARRIED strata."""
 
-    A node with many partners has its set sent to several tasks, FAN pairs each.
-    """
-    near = stage(pairs.distinct(), "near-pairs")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low in range(0, b.num_rows, SLICE):
+                part = b.slice(low, SLICE)
+                cut = []
+                for key, whole in zip(part.column(0).to_pylist(), part.column(3), strict=True):
+                    own = np.frombuffer(whole.as_buffer(), np.uint64)
+                    cut.append((own if LADDER[key >> 41] <= CARRIED else own[strata_of(own, key >> 41) < CARRIED]).tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cut, pa.binary())], names=["key", "node", "label", "shingles"])
+
+    return rows.select("key", "node", "label", "shingles").mapInArrow(made, "key long, node long, label long, shingles binary")
+
+
+def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """Staged (node, shingles) of the nodes in ``wanted``."""
     needed = stage(nodes.join(wanted, "node").select("node", F.col("of_i").alias("i"), F.col("of_h").alias("h")), "near-needed")
     found = texts.alias("x").join(needed.alias("y"), F.col("x.i").eqNullSafe(F.col("y.i")) & (F.col("x.h") == F.col("y.h"))).select("node", "t")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, SLICE):
                 part = b.slice(low, SLICE)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), words).tobytes() for t in part.column(1)], pa.binary())], names=["node", "shingles"])
 
+    own = stage(found.mapInArrow(made, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
+    discard(needed)
+    return own
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets have the similarity, compared on the whole sets.
+
+    A node with many partners has its set sent to several tasks, FAN pairs each.
+    """
+    near = stage(pairs.distinct(), "near-pairs")
+    own = _sets(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), nodes, texts, words)
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    own = stage(found.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "near-sets")
     fans = stage(near.groupBy("a").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > FAN).withColumn("fan", F.ceil(F.col("n_rows") / FAN).cast("int")), "near-fans")
     several = F.coalesce("fan", F.lit(1))
     left = own.withColumnRenamed("node", "a").join(fans, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0), several - 1)))
@@ -258,7 +286,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     with_left = dealt.join(left.select("a", "part", F.col("shingles").alias("x")), ["a", "part"])
     both = with_left.join(own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     links = stage(both.mapInArrow(similar, "a long, b long"), "near-links")
-    for used in (near, needed, own):
+    for used in (near, fans, own):
         discard(used)
     return links
 
@@ -267,12 +295,12 @@ def similar_labels(texts: DataFrame, words: int, similarity: float) -> DataFrame
     """(i, h, label) of each row of ``texts`` (i, h, t): rows linked by a Jaccard similarity of shingle sets share a label.
 
     Equal shingle sets are one node; texts without words are one too. Nodes that share a key are candidates; a long run of
-    one key first meets its least member only. What is in different groups after that is compared in the run: small sets
-    at once, larger ones by their other keys, with no pair written but the candidates. Every link is verified on the sets.
+    one key first meets its least member only. What is in different groups after that is compared in the run by its elements,
+    and only links that connect groups are written (of sets with more than CARRIED strata: all that may be similar). Every link is verified on the whole sets.
     """
     rows = stage(described(texts, words, similarity), "near-rows")
     order = F.struct(F.col("i").isNull(), "i", "h")
-    nodes = stage(rows.groupBy("node").agg(F.min_by(F.struct("i", "h", "n", "keys", "small"), order).alias("r")).select("node", F.col("r.i").alias("of_i"), F.col("r.h").alias("of_h"), "r.n", "r.keys", "r.small"), "near-nodes")
+    nodes = stage(rows.groupBy("node").agg(F.min_by(F.struct("i", "h", "n", "keys"), order).alias("r")).select("node", F.col("r.i").alias("of_i"), F.col("r.h").alias("of_h"), "r.n", "r.keys"), "near-nodes")
     by_key = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
     runs = stage(by_key.mapInArrow(_shared, "key long, node long, n int"), "near-runs")
     met = runs.repartition("key").sortWithinPartitions("key")
@@ -282,9 +310,8 @@ def similar_labels(texts: DataFrame, words: int, similarity: float) -> DataFrame
     split = known.groupBy("key").agg(F.count("*").alias("rows"), (F.min("label") != F.max("label")).alias("several")).where(F.col("several") & (F.col("rows") > SHORT_RUN)).select("key")
     rest = stage(known.join(split, "key", "left_semi"), "near-rest")
     if rest.limit(1).count():
-        few = F.element_at(F.lit(LADDER.tolist()), (F.shiftright("key", 41) + 1).cast("int")) <= STRATA
-        told = rest.join(nodes.select("node", "keys", "small"), "node").select("key", "node", "n", "label", F.when(~few, F.col("keys")).alias("keys"), F.when(few, F.col("small")).alias("small"))
-        again = told.repartition("key").sortWithinPartitions("key")
+        own = _sets(rest.select("node").distinct(), nodes, texts, words)
+        again = _carried(rest.join(own, "node")).repartition("key").sortWithinPartitions("key")
         more = _verified(again.mapInArrow(_cross_pairs(similarity), "a long, b long"), nodes, texts, words, similarity)
         if more.limit(1).count():
             labels = connected_components(links.union(more))
