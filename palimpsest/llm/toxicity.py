@@ -43,10 +43,19 @@ def word_set(text: str | None) -> set[str]:
 
 
 class TextTerms(dict):
-    """Terms of words, and the distinct terms of a text; words met before cost a lookup."""
+    """Terms of words, and the distinct terms of a text; words met before cost a lookup.
+
+    With ``slots``, terms without a slot are left out and the others become their slots.
+    """
+
+    def __init__(self, slots: np.ndarray | None = None) -> None:
+        super().__init__()
+        self.slots = slots
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         got = terms(word)
+        if self.slots is not None:
+            got = tuple(s for s in self.slots[list(got)].tolist() if s >= 0)
         if len(word) <= CACHED_LENGTH:
             if len(self) >= CACHE:
                 self.clear()
@@ -77,6 +86,12 @@ class FactorizationMachine:
         return out
 
 
+    def live(self) -> tuple[np.ndarray, FactorizationMachine]:
+        """The terms that add to a margin, and the machine of these alone: others have neither weight nor factors."""
+        at = np.flatnonzero((self.w != 0) | (self.v != 0).any(axis=1))
+        return at, FactorizationMachine(self.bias, self.w[at], self.v[at])
+
+
 class Sample(NamedTuple):
     flat: np.ndarray
     lengths: np.ndarray
@@ -194,21 +209,25 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, *, text_
 
     Columns of these names are replaced. Null text counts as empty and gets the score of a text without terms, equal texts get
     equal scores; without a model (no labels of both kinds) every score is 0. Empty in, empty out. The model has 2**TERM_BITS
-    rows whatever the vocabulary, and every term of a text counts.
+    rows whatever the vocabulary, and every term of a text counts; only those with a weight are sent to the tasks.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model and model.live())
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fm, cached = held.value, TextTerms()
+        at, fm = held.value or (None, None)
+        slots = np.full(1 << TERM_BITS, -1, np.int32)
+        if fm:
+            slots[at] = np.arange(len(at))
+        cached = TextTerms(slots)
         for b in batches:
             texts = b.column(b.num_columns - 1)
             scores = np.zeros(b.num_rows)
-            for at in range(0, b.num_rows if fm else 0, SLICE):
-                rows = [cached.of(t.as_py()) for t in texts.slice(at, SLICE)]
+            for low in range(0, b.num_rows if fm else 0, SLICE):
+                rows = [cached.of(t.as_py()) for t in texts.slice(low, SLICE)]
                 flat = np.concatenate(rows)
                 z = fm.margin(flat, np.fromiter(map(len, rows), np.int64, len(rows)))
-                scores[at : at + SLICE] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                scores[low : low + SLICE] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             columns = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
