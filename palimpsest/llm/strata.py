@@ -252,8 +252,9 @@ def _carried(rows: DataFrame) -> DataFrame:
 
 def _sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Staged (node, shingles) of the nodes in ``wanted``."""
-    needed = stage(nodes.join(wanted, "node").select("node", F.col("of_i").alias("i"), F.col("of_h").alias("h")), "near-needed")
-    found = texts.alias("x").join(needed.alias("y"), F.col("x.i").eqNullSafe(F.col("y.i")) & (F.col("x.h") == F.col("y.h"))).select("node", "t")
+    needed = nodes.join(wanted, "node").select("node", "of_i", F.col("of_h").alias("h"), F.lit(1).alias("n_rows"))
+    needed = stage(needed, "near-needed")  # a text has one node, so its hash occurs once
+    found = attach(texts, needed, ["h"], how="inner").where(F.col("i").eqNullSafe(F.col("of_i"))).select("node", "t")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
