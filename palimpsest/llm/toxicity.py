@@ -28,8 +28,10 @@ CACHE, CACHED_LENGTH, SLICE = 80_000, 64, 128
 LONG = 1 << 18
 #: Terms of the sample that the driver holds at a time; a larger sample is read again in parts in each epoch.
 HELD_TERMS = 16_000_000
-#: One labelled row in so many sets the cut and is not fitted on.
-CUT_FOLD = 8
+#: Rows of a step of the fit, passes over the sample, and steps at least: small samples are passed more often.
+BATCH, EPOCHS, LEAST_STEPS = 256, 8, 100
+#: One labelled row in so many sets the cut and is not fitted on, if each label occurs so often among them.
+CUT_FOLD, CUT_LEAST = 8, 20
 
 
 def terms(word: str) -> tuple[int, ...]:
@@ -102,7 +104,7 @@ class Sample(NamedTuple):
         return Sample(self.flat[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())], size, self.y[pick])
 
 
-def fit(parts: Sequence[Callable[[], Sample]], share: float, *, factors: int = 6, epochs: int = 8, batch: int = 256, rate: float = 3.0, shrink: float = 0.4, factor_rate: float = 0.03, seed: int = 11) -> FactorizationMachine:
+def fit(parts: Sequence[Callable[[], Sample]], share: float, *, factors: int = 6, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 3.0, shrink: float = 0.4, factor_rate: float = 0.03, seed: int = 11) -> FactorizationMachine:
     """AdaGrad on the logistic loss over the parts of the sample; one machine, one thread, the same result in each run.
 
     After each step weights shrink by ``shrink`` rows' full gradient, so that a term met in a single row of a batch keeps none:
@@ -180,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The bound: the ``rows`` labelled ids first by hash are taken, with all terms of their whole texts. The driver holds
     HELD_TERMS of these at a time; a larger sample stays in a written table and its parts are read in turn in each epoch.
-    One row in CUT_FOLD is not fitted on and sets the cut instead (where both labels occur there; else all rows do). Labels
+    One row in CUT_FOLD is not fitted on and sets the cut instead (where each label occurs CUT_LEAST times there; else all rows do both). Labels
     other than 0 and 1 and null ids are left out; an id that repeats counts once, with its smallest label and text.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != 0)).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).cast("double").alias("label"))
@@ -195,9 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     cut, shard = F.pmod("place", F.lit(CUT_FOLD)) == 0, F.pmod(F.shiftright("place", 8), F.lit(shards))
     parts = [sample.where(shard == i) for i in range(shards)]
     sides = {r["cut"]: (r["n"], r["n1"]) for r in sample.groupBy(cut.alias("cut")).agg(F.count("*").alias("n"), F.sum("label").alias("n1")).collect()}
-    apart = all(0 < sides.get(side, (0, 0))[1] < sides.get(side, (0, 0))[0] for side in (True, False))
+    apart = all(CUT_LEAST <= n1_ <= n_ - CUT_LEAST for n_, n1_ in (sides.get(side, (0, 0)) for side in (True, False)))
     fitted = [p.where(~cut) if apart else p for p in parts]
     held = _part(fitted[0]) if shards == 1 else None
+    options.setdefault("epochs", max(EPOCHS, -(-LEAST_STEPS // -(-int(n) // BATCH))))
     model = fit([(lambda: held) if held else (lambda p=p: _part(p)) for p in fitted], (n1 + 1) / (n + 2), **options)
     judged = [(model.margin(s.flat, s.lengths), s.y) for p in parts for s in [_part(p.where(cut) if apart else p)]]
     discard(sample)
