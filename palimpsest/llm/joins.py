@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Facts about classes are broadcast up to this many rows (about 100 bytes each).
@@ -11,6 +11,19 @@ BROADCAST_ROWS = 500_000
 HOT_ROWS = 100_000
 
 
+#: Rows and bytes of an Arrow batch at most: both sides of a Python task hold some of them with whole texts.
+BATCH_ROWS, BATCH_BYTES = 1024, 1 << 23
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH_ROWS and BATCH_BYTES where they are higher or unset."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = spark.conf.get(key, None)
+        number = int(own) if own and own.lstrip("-").isdigit() else 0
+        if spark.conf.isModifiable(key) and not 0 < number <= most:
+            spark.conf.set(key, str(most))
+
+
 def masked(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with columns in_0, in_1, ... and the new name of each; names made inside an operator start otherwise."""
     names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}

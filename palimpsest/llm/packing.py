@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from palimpsest.llm.joins import bound_batches
 from palimpsest.storage import stage
 
 CAPACITY = 4096
@@ -100,6 +101,7 @@ class WordTokens(dict):
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY, carry_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and ``end_id``, cut only where longer than ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     tokens_of = WordTokens if splits_at_spaces(tokenizer_path) else PlainTokens
     end = np.array([end_id], "<u4").tobytes()
 

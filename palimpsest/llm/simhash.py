@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.golay import SEGMENTS, codeword_index
-from palimpsest.llm.joins import attach, masked, unmasked
+from palimpsest.llm.joins import attach, bound_batches, masked, unmasked
 from palimpsest.llm.strata import similar_labels
 from palimpsest.storage import stage
 
@@ -176,6 +176,7 @@ def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     return docs.select(F.col(f"`{id_col}`").alias("i"), text_hash(text).alias("h"), text.alias("t"))
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.joins import masked
+from palimpsest.llm.joins import bound_batches, masked
 from palimpsest.storage import discard, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -185,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     One row in CUT_FOLD is not fitted on and sets the cut instead (where each label occurs CUT_LEAST times there; else all rows do both). Labels
     other than 0 and 1 and null ids are left out; an id that repeats counts once, with its smallest label and text.
     """
+    bound_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != 0)).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).cast("double").alias("label"))
     bound = known.orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
     own = docs.select(F.col(f"`{id_col}`").alias("d_id"), F.col(f"`{text_col}`").alias("t"))
@@ -214,6 +215,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine | None, *, text_
     equal scores; without a model (no labels of both kinds) every score is 0. Empty in, empty out. The model has 2**TERM_BITS
     rows whatever the vocabulary, and every term of a text counts; only those with a weight are sent to the tasks.
     """
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model and model.live())
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
 
